@@ -183,7 +183,7 @@ def credibility(texts: DataFrame, verifications: DataFrame | None = None) -> Dat
     else:
         texts = texts.withColumn("verification", F.lit(None).cast("double"))
     score, band = credibility_overall(F.col("confidence"), F.col("propaganda_score"), F.col("verification"))
-    return texts.withColumns({"overall_score": F.round(score, 3), "assessment": band})
+    return texts.withColumns({"overall_score": F.round(F.round(score, 9), 3), "assessment": band})
 
 
 def first_summary(claims: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -54,12 +54,15 @@ def _literal(rows: list[Row]) -> Column:
 
 
 def _match_inline(claims: DataFrame, rows: list[Row], text: str) -> DataFrame:
-    """All myths as one literal array: no join and no shuffle."""
+    """All myths as one literal array: no join and no shuffle.
+
+    The one-element explode keeps the optimizer from repeating the scoring in later filters.
+    """
     base = claims.withColumns({"_c": strip(F.lower(text))}).withColumn("_w", F.array_distinct(words(F.col("_c"))))
     scored = F.transform(_literal(rows), lambda m: F.struct(
         _score(F.col("_c"), F.col("_w"), m["de"], m["en"], m["de_words"], m["en_words"], m["keywords"]).alias("score"),
         (-m["ordinal"]).alias("neg"), m["id"].alias("id")))
-    best = base.withColumn("_best", F.array_max(scored)).drop("_c", "_w")
+    best = base.withColumn("_best", F.explode(F.array(F.array_max(scored)))).drop("_c", "_w")
     return best.withColumns({"myth_id": F.col("_best.id"), "myth_score": F.col("_best.score")}).drop("_best")
 
 

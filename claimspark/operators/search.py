@@ -21,25 +21,31 @@ def corpus_stats(docs: DataFrame, text: str = "claim") -> DataFrame:
 def postings(docs: DataFrame, doc_id: str = "id", text: str = "claim", vocabulary: DataFrame | None = None) -> DataFrame:
     """``doc_id, dl, term, tf``, optionally only for the terms of ``vocabulary(term)``.
 
-    The vocabulary filter sits before the count, so unused terms never reach the shuffle.
+    Counted inside the row: equal terms are neighbours once the tokens are sorted, so a term's count
+    is the distance between two starts. Nothing is shuffled, and all terms of a document stay in one
+    partition, which lets later sums per document combine map-side.
     """
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), stemmed_tokens(F.coalesce(text, F.lit(""))).alias("_t"))
-    terms = tokens.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    if vocabulary is not None:
-        terms = terms.join(vocabulary, "term", "left_semi")
-    return terms.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    t = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(stemmed_tokens(F.coalesce(text, F.lit("")))).alias("_t"))
+    n = F.size("_t")
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 1) | (F.get("_t", i - 1) != F.get("_t", i - 2)))
+    t = t.withColumn("_s", starts)
+    counted = F.transform("_s", lambda i, j: F.struct(
+        F.get("_t", i - 1).alias("term"), (F.coalesce(F.get("_s", j + 1), n + 1) - i).cast("bigint").alias("tf")))
+    terms = t.select("doc_id", n.alias("dl"), F.explode(counted).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+    return terms.join(vocabulary, "term", "left_semi").select("doc_id", "dl", "term", "tf") if vocabulary is not None else terms
 
 
 def bm25_index(docs: DataFrame, doc_id: str = "id", text: str = "claim") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings, term statistics (``term, df, idf``) and the one-row corpus statistics."""
     posts, stats = postings(docs, doc_id, text), corpus_stats(docs, text)
-    return posts, term_stats(posts, stats), stats
+    return posts, term_stats(posts, stats.first()["n_docs"]), stats
 
 
-def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
+def term_stats(posts: DataFrame, n_docs: int) -> DataFrame:
+    """``term, df, idf`` for a corpus of ``n_docs`` documents."""
     frequency = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    row = stats.first()  # one row by construction
-    n = F.lit(row["n_docs"])
+    n = F.lit(n_docs)
     return frequency.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
@@ -58,14 +64,16 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_id",
     """Raw score of every query and document that share a term: ``query_id, doc_id, score``."""
     wanted = query_terms(queries, query_id, query_text, stem_synonyms=stem_synonyms)
     vocabulary = bounded_broadcast(wanted.select("term").distinct(), MAX_BROADCAST_TERMS)
-    stats = corpus_stats(docs, doc_text)
-    avgdl = stats.first()["avgdl"] or 1.0
+    stats = corpus_stats(docs, doc_text).first()  # one row by construction
+    avgdl = stats["avgdl"] or 1.0
     posts = postings(docs, doc_id, doc_text, vocabulary)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
-    weighted = posts.join(term_stats(posts, stats), "term").select(
+    terms = bounded_broadcast(term_stats(posts, stats["n_docs"]), MAX_BROADCAST_TERMS)
+    weighted = posts.join(terms, "term").select(
         "doc_id", "term", (F.col("idf") * (F.col("tf") * (k1 + 1) / norm)).alias("w"))
     hits = weighted.join(bounded_broadcast(wanted, MAX_BROADCAST_TERMS), "term")
-    return hits.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score")).filter(F.col("score") > 0)
+    # Rounded, so that copies of a document tie exactly whatever order their terms were summed in.
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score")).filter(F.col("score") > 0)
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float = 0.3, min_raw: float = 0.0,
