@@ -459,7 +459,7 @@ def g7(spark, d):
 
 
 # ---- evidence ----------------------------------------------------------------------------------
-@query("a6_aggregate_sources", """SELECT claim_id, round(c::DECIMAL(18,9), 3)::DOUBLE AS confidence, c > 0.5 AS verified, checked AS sources_checked, found AS sources_found, tier AS highest_tier, rating AS fact_check_rating FROM (
+@query("a6_aggregate_sources", """SELECT claim_id, round(c, 3) AS confidence, c > 0.5 AS verified, checked AS sources_checked, found AS sources_found, tier AS highest_tier, rating AS fact_check_rating FROM (
     SELECT claim_id, checked, found, tier, rating, round(CASE WHEN found > 0 THEN least(1, wr / w + CASE tier WHEN 'tier_1_authority' THEN 0.15 WHEN 'tier_2_factcheck' THEN 0.10 WHEN 'tier_3_academic' THEN 0.05 ELSE 0 END) ELSE 0 END, 9) AS c FROM (
     SELECT claim_id, count(*) AS checked, count(*) FILTER (found) AS found, min(tier) FILTER (found) AS tier, sum(reliability) FILTER (found) AS w, sum(reliability * relevance) FILTER (found) AS wr,
     arg_min(rating, ordinal) FILTER (found AND source_type = 'fact_check' AND rating <> '') AS rating FROM results GROUP BY 1))""", ("results",))

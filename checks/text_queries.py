@@ -21,7 +21,7 @@ from claimspark.sources import seeds
 
 
 def r6(c, name):
-    return F.round(c, 6).alias(name)
+    return F.round(F.round(c, 9), 6).alias(name)
 
 
 def any_of(text: str, terms) -> str:
@@ -534,7 +534,7 @@ def t3(spark, d):
 
 
 # ---- combined credibility and vectors ------------------------------------------------------------
-@query("j22_f26_credibility", f"""SELECT p.doc_id, round(round(o, 9)::DECIMAL(18,9), 3)::DOUBLE AS overall_score, CASE WHEN o >= 0.6999999 THEN 'HIGH CREDIBILITY' WHEN o >= 0.4999999 THEN 'MODERATE CREDIBILITY' WHEN o >= 0.2999999 THEN 'LOW CREDIBILITY' ELSE 'VERY LOW CREDIBILITY' END AS assessment
+@query("j22_f26_credibility", f"""SELECT p.doc_id, round(o, 3) AS overall_score, CASE WHEN o >= 0.6999999 THEN 'HIGH CREDIBILITY' WHEN o >= 0.4999999 THEN 'MODERATE CREDIBILITY' WHEN o >= 0.2999999 THEN 'LOW CREDIBILITY' ELSE 'VERY LOW CREDIBILITY' END AS assessment
     FROM (SELECT p.doc_id, r.rule * 0.3 + (1 - round(p.raw, 3)::DOUBLE) * 0.3 + coalesce(v.confidence, 0.5) * 0.4 AS o FROM ({_PROP_SQL}) p JOIN (SELECT doc_id, {_RULE} AS rule FROM ({_SCORES})) r ON r.doc_id = p.doc_id
     LEFT JOIN (SELECT claim_id, round(CASE WHEN sum(found::INT) > 0 THEN least(1, sum(CASE WHEN found THEN relevance * reliability END) / sum(CASE WHEN found THEN reliability END)
       + max(CASE WHEN found THEN (CASE tier WHEN 'tier_1_authority' THEN 0.15 WHEN 'tier_2_factcheck' THEN 0.10 WHEN 'tier_3_academic' THEN 0.05 ELSE 0 END) END)) ELSE 0 END, 3) AS confidence FROM results GROUP BY 1) v ON v.claim_id = CAST(p.doc_id AS VARCHAR)) p""", ("docs", "results"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -123,19 +124,20 @@ def _slice_anchors(hot: DataFrame, ttl_us: int, inclusive: bool, slices: list[in
     Two anchors are at least a TTL apart, so a slice holds at most one per key: the earliest request
     past the current anchor's expiry. That is a ``min`` per key and combines map-side.
     """
-    anchors, found = None, None
-    for n, number in enumerate(slices):
+    state, steps = None, []
+    for number in slices:
         part = hot.filter(F.col("_slice") == number)
-        if anchors is not None:
+        if state is None:
+            step = part.groupBy("_k").agg(F.min("_us").alias("_anchor")).withColumn("_new", F.lit(True))
+        else:
             later = F.col("_us") > F.col("_anchor") + ttl_us if inclusive else F.col("_us") >= F.col("_anchor") + ttl_us
-            part = part.join(anchors, "_k", "left").filter(F.col("_anchor").isNull() | later)
-        fresh = part.groupBy("_k").agg(F.min("_us").alias("_us"))
-        found = fresh if found is None else found.unionByName(fresh)
-        moved = fresh.select("_k", F.col("_us").alias("_anchor"))
-        anchors = moved if anchors is None else anchors.unionByName(moved).groupBy("_k").agg(F.max("_anchor").alias("_anchor"))
-        if n % 8 == 7:
-            anchors, found = checkpoint(anchors), checkpoint(found)
-    return found
+            known = state.select("_k", "_anchor")
+            fresh = part.join(known, "_k", "left").filter(F.col("_anchor").isNull() | later).groupBy("_k").agg(F.min("_us").alias("_us"))
+            step = known.join(fresh, "_k", "full_outer").select(
+                "_k", F.coalesce("_us", "_anchor").alias("_anchor"), F.col("_us").isNotNull().alias("_new"))
+        state = checkpoint(step, "anchors")
+        steps.append(state.filter("_new").select("_k", F.col("_anchor").alias("_us")))
+    return reduce(DataFrame.unionByName, steps)
 
 
 def reuse_flags(requests: DataFrame, ttl_seconds: int = 86_400, key: str = "key", ts: str = "ts", request_id: str = "request_id",

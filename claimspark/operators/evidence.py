@@ -33,7 +33,7 @@ def aggregate_sources(results: DataFrame) -> DataFrame:
     )
     mean = F.when(F.col("_w") > 0, F.col("_wr") / F.col("_w")).otherwise(0.0)
     bonus = F.coalesce(_lookup(L.TIER_BONUS, F.col("highest_tier")), F.lit(0.0))
-    scored = checked.withColumn("_c", F.when(F.col("sources_found") > 0, F.least(F.lit(1.0), mean + bonus)).otherwise(0.0))
+    scored = checked.withColumn("_c", F.when(F.col("sources_found") > 0, F.round(F.least(F.lit(1.0), mean + bonus), 9)).otherwise(0.0))
     c = F.col("_c")
     none = F.col("sources_found") == 0
     summary = F.concat_ws(

@@ -60,7 +60,7 @@ def with_propaganda(texts: DataFrame, text: str = "text", patterns=tuple(L.TECHN
     raw = F.when(n > 0, F.least(F.lit(1.0), mean + F.least(F.lit(0.3), n * 0.1) + F.least(F.lit(0.2), m * 0.1))).otherwise(0.0)
     scored = found.withColumn("_raw", raw)
     return scored.withColumns({
-        "propaganda_score": F.round("_raw", 3),
+        "propaganda_score": F.round(F.round("_raw", 9), 3),
         "is_propaganda": F.col("_raw") >= 0.5,
         "risk_level": risk_level(F.col("_raw")),
     }).drop("_raw")

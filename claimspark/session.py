@@ -54,10 +54,16 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write the rows once to the shared folder and read them back.
+
+    Cuts the lineage like a reliable checkpoint and survives the loss of executors, but runs the
+    plan a single time and stores columns.
+    """
+    spark = df.sparkSession
+    path = shared_scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
