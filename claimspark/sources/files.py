@@ -65,9 +65,12 @@ def append_facts(df: DataFrame, path: str, partition_by: str | None = "claim_typ
     (writer.partitionBy(partition_by) if partition_by else writer).json(path)
 
 
-def read_verifications(spark: SparkSession, path: str) -> DataFrame:
-    """Stored verification documents, one row per claim with nested ``results``."""
-    return spark.read.schema(S.VERIFICATIONS).json(path, multiLine=True)
+def read_verifications(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Stored verification documents, one row per claim with nested ``results``.
+
+    ``multi_line``: one document per file; otherwise one per line.
+    """
+    return spark.read.schema(S.VERIFICATIONS).json(path, multiLine=multi_line)
 
 
 def verification_results(docs: DataFrame) -> DataFrame:
@@ -76,8 +79,9 @@ def verification_results(docs: DataFrame) -> DataFrame:
         "claim_id", "ordinal", "r.*")
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.CANDIDATES).json(path, multiLine=True)
+def read_candidates(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The candidate queue: JSON arrays, or JSON lines with ``multi_line=False``."""
+    return spark.read.schema(S.CANDIDATES).json(path, multiLine=multi_line)
 
 
 def write_candidates(df: DataFrame, path: str) -> None:

@@ -61,7 +61,7 @@ class ReuseProcessor(StatefulProcessor):
         self.handle = handle
         self.anchor = handle.getValueState("anchor", StructType([StructField("us", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows, ignore_index=True).sort_values(["us", "request_id"], kind="stable", ignore_index=True)
         current = self.anchor.get()[0] if self.anchor.exists() else None
         hits = []
@@ -74,8 +74,8 @@ class ReuseProcessor(StatefulProcessor):
         self.handle.registerTimer((current + self.ttl_us) // 1000)
         yield pd.DataFrame({"request_id": batch["request_id"], "hit": hits})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        if self.anchor.exists() and expired.getExpiryTimeInMs() * 1000 >= self.anchor.get()[0] + self.ttl_us - 1000:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.anchor.exists() and expiredTimerInfo.getExpiryTimeInMs() * 1000 >= self.anchor.get()[0] + self.ttl_us - 1000:
             self.anchor.clear()
         yield pd.DataFrame({"request_id": pd.Series(dtype="int64"), "hit": pd.Series(dtype="bool")})
 
