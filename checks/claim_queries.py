@@ -116,9 +116,9 @@ def _matches(m):
     return m.select("claim_id", "claim_ordinal", "claim_name", "fact_id", "fact_name", r6(F.col("match_score"), "match_score"), "match_method", *big("rank"))
 
 
-@query("j2_t2_resolve_reference", _with(("claim_nodes", "facts"), _REF, _MATCH_OUT))
+@query("j2_t2_resolve_contained", _with(("claim_nodes", "facts"), _REF, _MATCH_OUT))
 def j2(spark, d):
-    return _matches(R.resolve_entities(I.claim_nodes(spark, d), I.fact_nodes(spark, d), 0.8, "reference"))
+    return _matches(R.resolve_entities(I.claim_nodes(spark, d), I.fact_nodes(spark, d), 0.8, "contained"))
 
 
 @query("j2_resolve_all", _with(("claim_nodes", "facts"), _ALL, _MATCH_OUT))

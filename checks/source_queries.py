@@ -204,7 +204,7 @@ def _search_payload(source: str):
         "viaf": js('{"searchRetrieveResponse":{"records":[{"record":{"recordData":{"viafID":"', k, '","mainHeadings":{"data":{"text":"', n, '"}}}}}]}}'),
         "loc": js('[{"no":1},{"@id":"l', k, '","aLabel":"', n, '"}]'),
         "google": js('{"claims":[{"text":"', n, '","claimReview":[{"publisher":{"name":"Pub"},"textualRating":"False","title":"T","url":"u', k, '"}]}]}'),
-        "claimbuster": js('{"results":[{"text":"low","score":0.1},{"text":"', n, '","score":0.', F.lpad((F.col("p_partkey") % 90 + 10).cast("string"), 2, "0"), '},{"text":"none"}]}'),
+        "claimbuster": js('{"results":[{"text":"low","score":0.05},{"text":"', n, '","score":0.', F.lpad((F.col("p_partkey") % 90 + 10).cast("string"), 2, "0"), '},{"text":"none"}]}'),
         "crossref": js('{"message":{"items":[{"title":["', n, '"],"author":[{"given":"A","family":"B"},{"family":"C"}],"DOI":"10.', k, '","score":', F.col("p_size").cast("string"), ',"published-print":{"date-parts":[[1999]]}}]}}'),
         "openlibrary": js('{"docs":[{"title":"', n, '","author_name":["A","B","C","D"],"first_publish_year":1950,"key":"/works/', k, '"}]}'),
     }[source]

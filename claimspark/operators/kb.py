@@ -17,10 +17,10 @@ _LETTERS4 = r"(?<![\p{L}\p{N}_])[a-zäöüß]{4,}(?![\p{L}\p{N}_])"
 
 
 def resolved_labels(df: DataFrame, *columns: str, mode: str = "strict") -> DataFrame:
-    """Drop blank labels and unresolved ids; ``mode='reference'`` drops every label starting with Q."""
+    """Drop blank labels and unresolved ids; ``mode='broad'`` drops every label starting with Q."""
     for name in columns:
         c = F.col(name)
-        unresolved = c.startswith("Q") if mode == "reference" else c.rlike(r"^Q[0-9]+$")
+        unresolved = c.startswith("Q") if mode == "broad" else c.rlike(r"^Q[0-9]+$")
         df = df.filter((F.coalesce(c, F.lit("")) != "") & ~unresolved)
     return df
 

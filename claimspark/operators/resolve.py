@@ -79,21 +79,21 @@ def similarity_candidates(claim_nodes: DataFrame, facts: DataFrame, threshold: f
 
 
 def resolve_entities(
-    claim_nodes: DataFrame, facts: DataFrame, threshold: float = 0.8, candidates: str = "reference", k: int = 10
+    claim_nodes: DataFrame, facts: DataFrame, threshold: float = 0.8, candidates: str = "contained", k: int = 10
 ) -> DataFrame:
     """Matches with score and method per claim node, best first.
 
-    ``candidates='reference'`` looks only at the k containment candidates, ``'all'`` finds every
+    ``candidates='contained'`` looks only at the k containment candidates, ``'all'`` finds every
     match at the threshold. Output: ``claim_id, claim_ordinal, claim_name, claim_type, fact_id,
     fact_name, fact_type, match_score, match_method, rank``.
     """
     pool = typed_facts(facts.withColumn("_declared", F.col("node_type")))
-    if candidates == "reference":
+    if candidates == "contained":
         pairs = fact_candidates(claim_nodes, pool, k)
     elif candidates == "all":
         pairs = similarity_candidates(claim_nodes, pool, threshold)
     else:
-        raise ValueError("candidates must be 'reference' or 'all'")
+        raise ValueError("candidates must be 'contained' or 'all'")
 
     scored = pairs.join(
         pool.select("node_type", "fact_id", F.col("name").alias("fact_name"), F.col("ordinal").alias("fact_ordinal"),
