@@ -21,6 +21,7 @@ from claimspark.operators import kb as K
 from claimspark.operators import resolve as R
 from claimspark.plans import grow as W
 from claimspark.plans import validate as V
+from claimspark.session import checkpoint
 
 TECH = {k: dt.date.fromisoformat(v) for k, v in I.TECH.items()}
 ISSUE = ["claim_id", "issue_type", "severity", "message", "claim_entity", "claim_value", "fact_value"]
@@ -208,8 +209,9 @@ def _all_rels(spark, d):
 
 
 def _validation(spark, d):
-    claims = I.order_claims(spark, d)
-    return V.validate_claims(claims, _all_nodes(spark, d), _all_rels(spark, d), I.fact_nodes(spark, d), I.fact_edges(spark, d), TECH)
+    """The derived claim graph is stored first, as the operators read its tables several times."""
+    nodes, rels = checkpoint(_all_nodes(spark, d), "nodes"), checkpoint(_all_rels(spark, d), "rels")
+    return V.validate_claims(I.order_claims(spark, d), nodes, rels, I.fact_nodes(spark, d), I.fact_edges(spark, d), TECH)
 
 
 _ALL_CTES = {
@@ -296,9 +298,9 @@ _ENRICH = """,
 
 
 def _enriched(spark, d):
-    matches = I.chron_rels(spark, d).filter(F.col("ordinal") <= 3).select("claim_id", (F.col("ordinal") / 10).alias("match_score"))
-    issues = C.chronology_issues(I.chron_nodes(spark, d), I.chron_rels(spark, d), TECH)
-    return feat.enrich_features(_features(spark, d), matches, issues)
+    nodes, rels = I.chron_nodes(spark, d), I.chron_rels(spark, d)
+    matches = rels.filter(F.col("ordinal") <= 3).select("claim_id", (F.col("ordinal") / 10).alias("match_score"))
+    return feat.enrich_features(_features(spark, d), matches, C.chronology_issues(nodes, rels, TECH))
 
 
 @query("a5_f17_rule_scores", _with(("cn", "cr", "lifespan", "anachronism"), _FEAT + _ENRICH, """SELECT claim_id, crit AS num_critical_issues, high AS num_high_issues, round(rate, 6) AS entity_match_rate, round(mean, 6) AS avg_entity_match_score,

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimspark.session import spread
+
 PHRASES = [
     "Napoleon war klein und die Gefahr ist immer da.",
     "Vikings wore horned helmets, experts say.",
@@ -52,6 +54,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Ids and texts of the documents; one small file is spread over the cores first."""
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def sf(*cols):
     return F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in cols])
 
@@ -63,7 +70,7 @@ def s(name: str):
 # ---- texts -------------------------------------------------------------------------------------
 def docs(spark, d) -> DataFrame:
     phrases = F.array(*map(F.lit, PHRASES))
-    return table(spark, d, "documents").select(
+    return texts(spark, d).select(
         "doc_id", sf(F.col("text"), " ", F.element_at(phrases, (F.col("doc_id") % len(PHRASES) + 1).cast("int"))).alias("text"))
 
 

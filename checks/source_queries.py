@@ -16,7 +16,7 @@ from claimspark.operators import graph as G
 from claimspark.operators import kb as K
 from claimspark.operators import ml as ML
 from claimspark.plans import grow as W
-from claimspark.session import shared_scratch
+from claimspark.session import shared_scratch, spread
 from claimspark.sources import extractions as X
 from claimspark.sources import files as S
 from claimspark.sources import payloads as P
@@ -265,7 +265,8 @@ def _responses(spark, d) -> DataFrame:
     comma = js('{"nodes": ', body, ', "relationships": [', rel, ",],}")
     bare = js("{entities: ", F.regexp_replace(body, '"([a-z_]+)":', "$1:"), ", relations: [", F.regexp_replace(rel, '"([a-z_]+)":', "$1:"), "]}")
     text = F.when(k % 5 == 0, js("```json\n", clean, "\n```")).when(k % 5 == 1, js("Let me think.\n", comma)).when(k % 5 == 2, bare).when(k % 5 == 3, clean).otherwise(F.lit("no answer"))
-    return I.table(spark, d, "orders").select(I.s("o_orderkey").alias("claim_id"), text.alias("response"), F.col("o_orderpriority").alias("source_text"))
+    orders = spread(I.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
+    return orders.select(I.s("o_orderkey").alias("claim_id"), text.alias("response"), F.col("o_orderpriority").alias("source_text"))
 
 
 @query("s17_ingest_extractions", """SELECT 'node' AS what, CAST(o_orderkey AS VARCHAR) AS claim_id, 'Person:Customer ' || o_custkey AS item FROM orders WHERE o_orderkey % 5 <> 4 UNION ALL SELECT 'node', CAST(o_orderkey AS VARCHAR), 'Event:Order ' || o_orderkey FROM orders WHERE o_orderkey % 5 <> 4 AND o_orderkey % 6 <> 0

@@ -361,13 +361,13 @@ _BM25 = f"""toks AS (SELECT doc_id, list_transform({_TOKENS}, lambda w: {_STEM.f
 
 @query("a20_bm25_index", f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def a20(spark, d):
-    _, stats, _ = R.bm25_index(I.table(spark, d, "documents"), "doc_id", "text")
+    _, stats, _ = R.bm25_index(I.texts(spark, d), "doc_id", "text")
     return stats.select("term", "df", r6(F.col("idf"), "idf"))
 
 
 @query("j13_bm25_search", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS raw_score, round(score / best, 6) AS score, rank FROM ranked WHERE rank <= 5 AND score / best >= 0.3")
 def j13(spark, d):
-    hits = R.bm25_search(I.table(spark, d, "benchmark"), I.table(spark, d, "documents"), k=5, min_score=0.3,
+    hits = R.bm25_search(I.table(spark, d, "benchmark"), I.texts(spark, d), k=5, min_score=0.3,
                          query_id="item_id", query_text="text", doc_id="doc_id", doc_text="text")
     return hits.select(F.col("query_id").alias("item_id"), "doc_id", r6(F.col("raw_score"), "raw_score"), r6(F.col("score"), "score"),
                        F.col("rank").cast("bigint").alias("rank"))
@@ -375,14 +375,14 @@ def j13(spark, d):
 
 @query("w12_t4_normalised_hits", f"WITH {_BM25} SELECT item_id, count(*) AS n_hits, round(max(score / best), 6) AS top, round(avg(score / best), 6) AS mean_score FROM ranked WHERE score / best >= 0.5 AND rank <= 20 GROUP BY 1")
 def w12(spark, d):
-    hits = R.bm25_search(I.table(spark, d, "benchmark"), I.table(spark, d, "documents"), k=20, min_score=0.5,
+    hits = R.bm25_search(I.table(spark, d, "benchmark"), I.texts(spark, d), k=20, min_score=0.5,
                          query_id="item_id", query_text="text", doc_id="doc_id", doc_text="text")
     return hits.groupBy(F.col("query_id").alias("item_id")).agg(F.count(F.lit(1)).alias("n_hits"), r6(F.max("score"), "top"), r6(F.avg("score"), "mean_score"))
 
 
 def _doc_kb(spark, d):
     k = F.col("doc_id")
-    return I.table(spark, d, "documents").select(
+    return I.texts(spark, d).select(
         F.col("doc_id").alias("id"), F.col("text").alias("claim"), (k % 3 != 0).alias("is_true"), I.sf("doc ", I.s("doc_id")).alias("explanation"),
         F.when(k % 2 == 0, "historical").otherwise("other").alias("claim_type"))
 

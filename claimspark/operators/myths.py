@@ -89,11 +89,24 @@ def match_candidates(claims: DataFrame, prepared: DataFrame, min_score: float) -
     lists = prepared.select("id", F.explode(sides).alias("s")).select("id", F.col("s.w").alias("w"))
     most = lists.agg(F.max(F.size("w")).alias("n")).first()["n"] or 0
     distinct_lists = lists.filter(F.size("w") > 0).withColumn("lid", F.concat_ws(" ", F.array_sort("w")))
-    list_words = distinct_lists.select("lid", F.size("w").alias("_m"), F.explode("w").alias("word")).distinct()
-    claim_words = claims.filter(F.size("_w") <= most / share).select("_cid", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
-    shared = claim_words.join(list_words, "word").filter(F.least("_n", "_m") >= F.greatest("_n", "_m") * share - 1e-9)
-    overlap = shared.groupBy("_cid", "lid", "_n", "_m").agg(F.count(F.lit(1)).alias("_k")).filter(
-        F.col("_k") >= (F.col("_n") + F.col("_m") - F.col("_k")) * share - 1e-9)
+    left = claims.filter((F.size("_w") > 0) & (F.size("_w") <= most / share)).select(F.col("_cid").alias("k"), F.col("_w").alias("w"))
+    right = distinct_lists.select(F.col("lid").alias("k"), "w").dropDuplicates(["k"])
+    rarity = left.select(F.explode("w").alias("word")).unionByName(right.select(F.explode("w").alias("word"))).groupBy("word").agg(
+        F.count(F.lit(1)).alias("f"))
+
+    def rare_words(side: DataFrame) -> DataFrame:
+        """The words that decide: two lists with the wanted overlap share one of their rarest words.
+
+        A group holds the words of one short list, so its size is bounded.
+        """
+        ranked = side.select("k", F.explode("w").alias("word")).join(rarity, "word").groupBy("k").agg(
+            F.array_sort(F.collect_list(F.struct("f", "word"))).alias("ws"))
+        n = F.size("ws")
+        return ranked.select("k", n.alias("n"), F.explode(F.slice(F.col("ws"), F.lit(1), (n - F.ceil(n * share - 1e-9) + 1).cast("int"))).alias("x")).select(
+            "k", "n", F.col("x.word").alias("word"))
+
+    overlap = rare_words(left).toDF("_cid", "_n", "word").join(rare_words(right).toDF("lid", "_m", "word"), "word").filter(
+        F.least("_n", "_m") >= F.greatest("_n", "_m") * share - 1e-9).select("_cid", "lid").distinct()
     similar = overlap.join(distinct_lists.select("lid", "id").distinct(), "lid").select("_cid", "id")
     return inside.unionByName(around).unionByName(similar).distinct()
 

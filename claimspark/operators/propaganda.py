@@ -2,16 +2,56 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import lexicons as L
-from claimspark.functions.tokens import count_contained
+from claimspark.functions.tokens import contains_any, count_contained
 
 # Unicode classes and word edges; "." stops at line feeds only.
 _FLAGS = "(?dU)"
 
 
+def literal_anchors(regex: str) -> list[str]:
+    """Substrings of which every match of the pattern holds at least one; empty if none can be named.
+
+    Reads the leading group of alternatives and takes the longest plain run of each.
+    """
+    if not regex.startswith(r"\b("):
+        return []
+    depth, end, cuts = 0, 0, [3]
+    for i in range(2, len(regex)):
+        if regex[i - 1] == "\\":
+            continue
+        depth += (regex[i] == "(") - (regex[i] == ")")
+        if regex[i] == "|" and depth == 1:
+            cuts.append(i + 1)
+        if depth == 0:
+            end = i
+            break
+    anchors = []
+    for start, stop in zip(cuts, [c - 1 for c in cuts[1:]] + [end]):
+        bare = re.sub(r"\[[^\]]*\]", "\0", regex[start:stop])
+        while "(" in bare and (inner := re.sub(r"\([^()]*\)", "\0", bare)) != bare:
+            bare = inner
+        bare = re.sub(r".?[?*+]|.?\{[^}]*\}|\.|\\[A-Za-z]|[{}^$()]", "\0", bare).replace("\\", "")
+        run = max(bare.split("\0"), key=len)
+        if len(run) < 2:
+            return []
+        anchors.append(run.lower())
+    return anchors
+
+
+def _count(low: Column, regex: str) -> Column:
+    """Occurrences of a pattern; texts without any of its anchor words skip the regex."""
+    flags = _FLAGS[:-1] + "iu)" if re.search(r"(?<!\\)[A-Z]", regex) else _FLAGS
+    n = F.regexp_count(low, F.lit(flags + regex))
+    anchors = literal_anchors(regex)
+    return F.when(contains_any(low, anchors), n).otherwise(F.lit(0)) if anchors else n
+
+
 def _confidence(n: Column, weight: float) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), F.round(F.least(F.lit(1.0), n * 0.1 + 0.5) * weight, 2)))
 
@@ -20,7 +60,7 @@ def pattern_hits(low: Column, patterns=tuple(L.TECHNIQUE_PATTERNS)) -> Column:
     """Array of ``(technique, pattern_no, n, confidence)`` for every pattern that occurs in the text."""
     counts = F.array(*[
         F.struct(F.lit(technique).alias("technique"), F.lit(i).alias("pattern_no"),
-                 F.regexp_count(low, F.lit(_FLAGS + regex)).alias("n"), F.lit(weight).alias("weight"))
+                 _count(low, regex).alias("n"), F.lit(weight).alias("weight"))
         for technique, weight, _, regexes in patterns for i, regex in enumerate(regexes)])
     return F.transform(F.filter(counts, lambda h: h["n"] > 0), lambda h: F.struct(
         h["technique"].alias("technique"), h["pattern_no"].alias("pattern_no"), h["n"].alias("n"),
@@ -32,7 +72,7 @@ def best_per_technique(low: Column, patterns=tuple(L.TECHNIQUE_PATTERNS)) -> Col
     none = F.lit(None).cast("double")
     entries = []
     for technique, weight, _, regexes in patterns:
-        best = F.greatest(none, *[_confidence(F.regexp_count(low, F.lit(_FLAGS + r)), weight) for r in regexes])
+        best = F.greatest(none, *[_confidence(_count(low, r), weight) for r in regexes])
         entries.append(F.struct(F.lit(technique).alias("technique"), best.alias("confidence")))
     return F.filter(F.array(*entries), lambda e: e["confidence"].isNotNull())
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from claimspark import lexicons as L
 from claimspark.functions.names import levenshtein_ratio, normalize_name, soundex4, strip
 from claimspark.operators.textjoin import containment_pairs, edit_pairs
+from claimspark.session import checkpoint
 
 ISSUE_COLUMNS = ["claim_id", "issue_type", "severity", "message", "claim_entity", "claim_value", "fact_value", "confidence"]
 
@@ -31,15 +32,16 @@ def fact_candidates(claim_nodes: DataFrame, facts: DataFrame, k: int | None = 10
     """Facts of the same type with an equal, aliased, containing or contained name (case-sensitive).
 
     At most ``k`` per claim name, by fact ordinal. Works on distinct (type, name) pairs so copies of
-    a claim name cost one row. Output: ``node_type, claim_name, fact_id``.
+    a claim name cost one row; those pairs are written once because both directions read them
+    several times. Output: ``node_type, claim_name, fact_id``.
     """
-    names = claim_nodes.select("node_type", F.col("name").alias("claim_name")).distinct().withColumn(
-        "_c", F.concat_ws("\u0001", "node_type", "claim_name"))
-    fact_names = facts.select("node_type", F.col("name").alias("_fname")).filter(
-        F.length("_fname") > 0).distinct().withColumn("_f", F.concat_ws("\u0001", "node_type", "_fname"))
+    names = checkpoint(claim_nodes.select("node_type", F.col("name").alias("claim_name")).distinct().withColumn(
+        "_c", F.concat_ws("\u0001", "node_type", "claim_name")), "claim-names")
+    fact_names = checkpoint(facts.select("node_type", F.col("name").alias("_fname")).filter(
+        F.length("_fname") > 0).distinct().withColumn("_f", F.concat_ws("\u0001", "node_type", "_fname")), "fact-names")
 
-    inside = containment_pairs(names, fact_names, "_c", "claim_name", "_f", "_fname", ["node_type"])
-    around = containment_pairs(fact_names, names, "_f", "_fname", "_c", "claim_name", ["node_type"])
+    inside = containment_pairs(names, fact_names, "_c", "claim_name", "_f", "_fname", ["node_type"], short=True)
+    around = containment_pairs(fact_names, names, "_f", "_fname", "_c", "claim_name", ["node_type"], short=True)
     by_name = inside.unionByName(around).distinct()
     keyed = facts.withColumn("_f", F.concat_ws("\u0001", "node_type", "name"))
     hits = by_name.join(keyed.select("_f", "fact_id", "ordinal"), "_f").select("_c", "fact_id", "ordinal")
@@ -56,9 +58,9 @@ def fact_candidates(claim_nodes: DataFrame, facts: DataFrame, k: int | None = 10
 
 def similarity_candidates(claim_nodes: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
     """Every fact that can reach the threshold: equal, aliased, within the edit ratio or sounding alike."""
-    claims = claim_nodes.select("node_type", F.col("name").alias("claim_name")).distinct().withColumn(
-        "text", normalize_name(F.col("claim_name")))
-    named = facts.withColumn("text", normalize_name(F.col("name")))
+    claims = checkpoint(claim_nodes.select("node_type", F.col("name").alias("claim_name")).distinct().withColumn(
+        "text", normalize_name(F.col("claim_name"))), "claim-names")
+    named = checkpoint(facts.withColumn("text", normalize_name(F.col("name"))), "fact-names")
     near = edit_pairs(claims, named, threshold, ["node_type"])
     fuzzy = (
         claims.withColumnRenamed("text", "left_text").join(near, ["node_type", "left_text"])

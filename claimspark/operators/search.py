@@ -6,24 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark import lexicons as L
-from claimspark.functions.tokens import expand_synonyms, stem, stemmed_tokens, tokenize
-from claimspark.session import bounded_broadcast
+from claimspark.functions.tokens import expand_synonyms, stem, stemmed_tokens
+from claimspark.session import bounded, checkpoint
 
 MAX_BROADCAST_TERMS = 200_000
 
 
-def corpus_stats(docs: DataFrame, text: str = "claim") -> DataFrame:
-    """One row: number of documents and mean length in tokens."""
-    return docs.select(F.size(tokenize(F.coalesce(text, F.lit("")))).alias("dl")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-
-
-def postings(docs: DataFrame, doc_id: str = "id", text: str = "claim", vocabulary: DataFrame | None = None) -> DataFrame:
-    """``doc_id, dl, term, tf``, optionally only for the terms of ``vocabulary(term)``.
+def indexed(docs: DataFrame, doc_id: str = "id", text: str = "claim", vocabulary: DataFrame | None = None) -> DataFrame:
+    """``doc_id, dl, term, tf`` with one extra row per document whose term is null.
 
     Counted inside the row: equal terms are neighbours once the tokens are sorted, so a term's count
     is the distance between two starts. Nothing is shuffled, and all terms of a document stay in one
-    partition, which lets later sums per document combine map-side.
+    partition, which lets later sums per document combine map-side. ``vocabulary(term)`` drops other
+    terms right away; the extra rows still count every document and its length.
     """
     t = docs.select(F.col(doc_id).alias("doc_id"), F.sort_array(stemmed_tokens(F.coalesce(text, F.lit("")))).alias("_t"))
     n = F.size("_t")
@@ -32,14 +27,31 @@ def postings(docs: DataFrame, doc_id: str = "id", text: str = "claim", vocabular
     t = t.withColumn("_s", starts)
     counted = F.transform("_s", lambda i, j: F.struct(
         F.get("_t", i - 1).alias("term"), (F.coalesce(F.get("_s", j + 1), n + 1) - i).cast("bigint").alias("tf")))
-    terms = t.select("doc_id", n.alias("dl"), F.explode(counted).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
-    return terms.join(vocabulary, "term", "left_semi").select("doc_id", "dl", "term", "tf") if vocabulary is not None else terms
+    mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf")))
+    terms = t.select("doc_id", n.alias("dl"), F.explode(F.concat(mark, counted)).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+    if vocabulary is None:
+        return terms
+    wanted = vocabulary.withColumn("_wanted", F.lit(True))
+    return terms.join(wanted, "term", "left").filter(F.col("term").isNull() | F.col("_wanted")).select("doc_id", "dl", "term", "tf")
+
+
+def postings(index: DataFrame) -> DataFrame:
+    return index.filter(F.col("term").isNotNull())
+
+
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """One row: number of documents and mean length in tokens."""
+    return index.filter(F.col("term").isNull()).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def bm25_index(docs: DataFrame, doc_id: str = "id", text: str = "claim") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, term statistics (``term, df, idf``) and the one-row corpus statistics."""
-    posts, stats = postings(docs, doc_id, text), corpus_stats(docs, text)
-    return posts, term_stats(posts, stats.first()["n_docs"]), stats
+    """Postings, term statistics (``term, df, idf``) and the one-row corpus statistics.
+
+    The texts are tokenised once into a table in the shared checkpoint folder.
+    """
+    index = checkpoint(indexed(docs, doc_id, text), "index")
+    stats = corpus_stats(index)
+    return postings(index), term_stats(postings(index), stats.first()["n_docs"]), stats
 
 
 def term_stats(posts: DataFrame, n_docs: int) -> DataFrame:
@@ -63,15 +75,16 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_id",
                 stem_synonyms: bool = False) -> DataFrame:
     """Raw score of every query and document that share a term: ``query_id, doc_id, score``."""
     wanted = query_terms(queries, query_id, query_text, stem_synonyms=stem_synonyms)
-    vocabulary = bounded_broadcast(wanted.select("term").distinct(), MAX_BROADCAST_TERMS)
-    stats = corpus_stats(docs, doc_text).first()  # one row by construction
+    few = bounded(wanted, MAX_BROADCAST_TERMS)
+    small = F.broadcast if few else (lambda df: df)  # the vocabulary and its statistics are no larger than ``wanted``
+    index = checkpoint(indexed(docs, doc_id, doc_text, small(wanted.select("term").distinct())), "index")
+    stats = corpus_stats(index).first()  # one row by construction
     avgdl = stats["avgdl"] or 1.0
-    posts = postings(docs, doc_id, doc_text, vocabulary)
+    posts = postings(index)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
-    terms = bounded_broadcast(term_stats(posts, stats["n_docs"]), MAX_BROADCAST_TERMS)
-    weighted = posts.join(terms, "term").select(
+    weighted = posts.join(small(term_stats(posts, stats["n_docs"])), "term").select(
         "doc_id", "term", (F.col("idf") * (F.col("tf") * (k1 + 1) / norm)).alias("w"))
-    hits = weighted.join(bounded_broadcast(wanted, MAX_BROADCAST_TERMS), "term")
+    hits = weighted.join(small(wanted), "term")
     # Rounded, so that copies of a document tie exactly whatever order their terms were summed in.
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score")).filter(F.col("score") > 0)
 

@@ -54,6 +54,16 @@ def shared_scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scanned table over the cores if it comes in fewer splits than there are cores.
+
+    For expensive row work on a small or badly split input; a large table has many splits and is
+    left as it is. Meant for plain scans: counting the splits plans the frame.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame, name: str = "table") -> DataFrame:
     """Write the rows once to the shared folder and read them back.
 
@@ -76,7 +86,11 @@ def bounded_rows(df: DataFrame, max_rows: int) -> list[Row] | None:
     return rows if len(rows) <= max_rows else None
 
 
+def bounded(df: DataFrame, max_rows: int) -> bool:
+    """Whether the frame has at most ``max_rows`` rows; counts no further than one more."""
+    return df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only when the side is proven to have at most ``max_rows`` rows."""
-    few = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if bounded(df, max_rows) else df

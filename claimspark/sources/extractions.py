@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.names import text_hash
 from claimspark.schema import validate_nodes, validate_rels
+from claimspark.session import checkpoint
 
 
 def json_body(response: Column) -> Column:
@@ -42,9 +43,15 @@ def _date(name: str) -> Column:
     return F.try_to_date(F.try_variant_get("x", f"$.{name}", "string"), "yyyy-MM-dd").alias(name)
 
 
-def ingest_extractions(raw: DataFrame, label: str = "Claim") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, relationships and rejects (``claim_id, ordinal, what, reasons``)."""
-    parsed = parse_responses(raw)
+def ingest_extractions(raw: DataFrame, label: str = "Claim", materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, relationships and rejects (``claim_id, ordinal, what, reasons``).
+
+    Five branches read the parsed answers, so these are written once to the shared checkpoint
+    folder; ``materialize=False`` parses again in every branch.
+    """
+    parsed = parse_responses(raw).select("claim_id", "text_hash", "v")
+    if materialize:
+        parsed = checkpoint(parsed, "answers")
     none = F.array().cast("array<string>")
     kind = F.try_variant_get("x", "$.node_type", "string")
     nodes = _items(parsed, "nodes", "entities").select(

@@ -165,7 +165,8 @@ def render_myth_cards(myths: DataFrame) -> DataFrame:
         "", double])
 
 
-def write_reports(lines: DataFrame, path: str) -> None:
-    """One folder per report; the lines of a report stay in order within and across its files."""
-    lines.repartitionByRange("analysis_id", "section", "pos").sortWithinPartitions("analysis_id", "section", "pos", "sub").select(
-        "analysis_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("analysis_id").text(path)
+def write_reports(lines: DataFrame, path: str, buckets: int = 200) -> None:
+    """Write reports as text into ``buckets`` folders; a report's lines stay together and in order."""
+    bucketed = lines.withColumn("bucket", F.pmod(F.xxhash64("analysis_id"), F.lit(buckets)))
+    bucketed.repartitionByRange("bucket", "analysis_id").sortWithinPartitions("bucket", "analysis_id", "section", "pos", "sub").select(
+        "bucket", F.col("line").alias("value")).write.mode("overwrite").partitionBy("bucket").text(path)

@@ -126,6 +126,16 @@ def test_reports(spark):
     assert "URSPRUNG:" in card and not any(line.startswith("  Zeit:") for line in card)
 
 
+def test_written_reports_keep_their_order(spark, tmp_path):
+    rows = [(a, 0, p, 0, f"{a}/{p}") for a in range(5) for p in range(20)]
+    lines = spark.createDataFrame(rows, "analysis_id long, section int, pos long, sub int, line string")
+    R.write_reports(lines, str(tmp_path / "r"), 3)
+    read = [r["value"] for r in spark.read.text(str(tmp_path / "r"), wholetext=True).collect()]
+    merged = [line for part in read for line in part.splitlines()]
+    for a in range(5):
+        assert [x for x in merged if x.startswith(f"{a}/")] == [f"{a}/{p}" for p in range(20)]
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     folder = session.ensure_checkpoint_dir(spark)
     assert session.ensure_checkpoint_dir(spark) == folder
