@@ -49,9 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_scratch(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder path next to the checkpoints, visible to all executors."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    """A fresh sub-folder path next to the checkpoints, visible to all executors.
+
+    All of an application's tables lie in one folder, so they can be removed together at its end.
+    """
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/claimspark-{spark.sparkContext.applicationId}/{name}-{os.urandom(8).hex()}"
 
 
 def spread(df: DataFrame) -> DataFrame:
