@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark import lexicons as L
@@ -10,6 +13,7 @@ from claimspark.functions.tokens import expand_synonyms, stem, stemmed_tokens
 from claimspark.session import bounded, checkpoint
 
 MAX_BROADCAST_TERMS = 200_000
+MAX_DIRECT_HITS = 100_000_000
 
 
 def indexed(docs: DataFrame, doc_id: str = "id", text: str = "claim", vocabulary: DataFrame | None = None) -> DataFrame:
@@ -56,9 +60,11 @@ def bm25_index(docs: DataFrame, doc_id: str = "id", text: str = "claim") -> tupl
 
 def term_stats(posts: DataFrame, n_docs: int) -> DataFrame:
     """``term, df, idf`` for a corpus of ``n_docs`` documents."""
-    frequency = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.lit(n_docs)
-    return frequency.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", _idf(n_docs))
+
+
+def _idf(n_docs: int) -> Column:
+    return F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text",
@@ -70,32 +76,90 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     return queries.select(F.col(query_id).alias("query_id"), F.explode(terms).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "text",
-                doc_id: str = "id", doc_text: str = "claim", k1: float = L.BM25_K1, b: float = L.BM25_B,
-                stem_synonyms: bool = False) -> DataFrame:
-    """Raw score of every query and document that share a term: ``query_id, doc_id, score``."""
+class _Scored(NamedTuple):
+    """One retrieval run: weighted postings, query terms and the hint for small term tables."""
+
+    weights: DataFrame  # doc_id, term, w
+    wanted: DataFrame  # query_id, term, df, top (largest w of the term)
+    small: Callable[[DataFrame], DataFrame]
+
+
+def _prepare(queries: DataFrame, docs: DataFrame, query_id: str = "query_id", query_text: str = "text", doc_id: str = "id",
+             doc_text: str = "claim", k1: float = L.BM25_K1, b: float = L.BM25_B, stem_synonyms: bool = False) -> _Scored:
     wanted = query_terms(queries, query_id, query_text, stem_synonyms=stem_synonyms)
     few = bounded(wanted, MAX_BROADCAST_TERMS)
     small = F.broadcast if few else (lambda df: df)  # the vocabulary and its statistics are no larger than ``wanted``
     index = checkpoint(indexed(docs, doc_id, doc_text, small(wanted.select("term").distinct())), "index")
     stats = corpus_stats(index).first()  # one row by construction
-    avgdl = stats["avgdl"] or 1.0
-    posts = postings(index)
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))
-    weighted = posts.join(small(term_stats(posts, stats["n_docs"])), "term").select(
-        "doc_id", "term", (F.col("idf") * (F.col("tf") * (k1 + 1) / norm)).alias("w"))
-    hits = weighted.join(small(wanted), "term")
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"] or 1.0))
+    posts = postings(index).select("doc_id", "term", (F.col("tf") * (k1 + 1) / norm).alias("part"))
+    frequency = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    terms = checkpoint(frequency.select("term", "df", _idf(stats["n_docs"]).alias("idf"), "most"), "terms")
+    weights = posts.join(small(terms), "term").select("doc_id", "term", (F.col("idf") * F.col("part")).alias("w"))
+    known = wanted.join(small(terms), "term").select("query_id", "term", "df", (F.col("idf") * F.col("most")).alias("top"))
+    return _Scored(weights, known, small)
+
+
+def _sums(run: _Scored, terms: DataFrame) -> DataFrame:
+    """Summed weight of every query and document over some of the query's terms."""
+    return run.weights.join(run.small(terms.select("query_id", "term")), "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("s"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, **options) -> DataFrame:
+    """Raw score of every query and document that share a term: ``query_id, doc_id, score``.
+
+    A frequent term pairs its query with every document that has it; use ``bm25_search`` for the best k.
+    """
+    return _all_scores(_prepare(queries, docs, **options))
+
+
+def _best_scores(run: _Scored, k: int) -> DataFrame:
+    """A table of query, document and score that holds at least the k best of every query.
+
+    The heavier half of a query's terms alone gives k documents and with them a bound the k-th best
+    score cannot be below. Light terms whose largest weights together stay under the bound cannot
+    carry a document into the best k, so their long posting lists are never joined: they are only
+    looked up for documents that the other terms leave within reach of the bound.
+    """
+    margin = 1e-6
+    by_weight = Window.partitionBy("query_id").orderBy(F.desc("top"), "term")  # one query's own terms
+    ranked = run.wanted.withColumns({
+        "pos": F.row_number().over(by_weight), "n": F.count(F.lit(1)).over(Window.partitionBy("query_id")),
+        "rest": F.sum("top").over(by_weight.rowsBetween(0, Window.unboundedFollowing))})
+    ranked = checkpoint(ranked, "query-terms")
+    heavy = _sums(run, ranked.filter(F.col("pos") <= F.ceil(F.col("n") / 2)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id")
+    first_k = heavy.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
+    bound = checkpoint(first_k.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(0.0).alias("bound")), "bounds")
+
+    light = (F.col("rest") < F.col("bound") - margin)
+    split = ranked.join(run.small(bound), "query_id").withColumn("light", light)
+    reach = split.groupBy("query_id").agg(F.first("bound").alias("bound"), F.coalesce(F.sum(F.when(F.col("light"), F.col("top"))), F.lit(0.0)).alias("reach"))
+    partial = _sums(run, split.filter(~F.col("light")))
+    kept = checkpoint(partial.join(run.small(reach), "query_id").filter(F.col("s") + F.col("reach") >= F.col("bound") - margin).select(
+        "query_id", "doc_id", "s"), "candidates")
+    lookups = kept.join(run.small(split.filter("light").select("query_id", "term")), "query_id").select("query_id", "doc_id", "term")
+    more = lookups.join(run.weights, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum("w").alias("m"))
+    return kept.join(more, ["query_id", "doc_id"], "left").select(
+        "query_id", "doc_id", F.round(F.col("s") + F.coalesce("m", F.lit(0.0)), 9).alias("score")).filter(F.col("score") > 0)
+
+
+def _all_scores(run: _Scored) -> DataFrame:
     # Rounded, so that copies of a document tie exactly whatever order their terms were summed in.
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score")).filter(F.col("score") > 0)
+    return _sums(run, run.wanted).select("query_id", "doc_id", F.round("s", 9).alias("score")).filter(F.col("score") > 0)
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float = 0.3, min_raw: float = 0.0,
-                **columns) -> DataFrame:
+                direct_hits: int = MAX_DIRECT_HITS, **options) -> DataFrame:
     """Top-k documents per query by score relative to the query's best: ``query_id, doc_id, raw_score, score, rank``.
 
-    The best hit always scores 1.0; ``min_raw`` filters on the raw score instead.
+    The best hit always scores 1.0; ``min_raw`` filters on the raw score instead. Column options:
+    ``query_id, query_text, doc_id, doc_text``; scoring options: ``k1, b, stem_synonyms``. Searches
+    that would join more than ``direct_hits`` postings leave out those that cannot matter.
     """
-    scores = bm25_scores(queries, docs, **columns)
+    run = _prepare(queries, docs, **options)
+    hits = run.wanted.agg(F.sum("df").alias("n")).first()["n"] or 0
+    scores = _all_scores(run) if hits <= direct_hits else _best_scores(run, k)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     # Cut to k before normalising: the maximum is the first of the k, so no full-size window is needed.
     top = scores.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)

@@ -12,6 +12,7 @@ from claimspark.operators import batch as B
 from claimspark.operators import graph as G
 from claimspark.operators import kb as K
 from claimspark.operators import myths as M
+from claimspark.operators import search as S
 from claimspark.operators import textjoin as TJ
 from claimspark.sources import seeds
 
@@ -191,3 +192,21 @@ def test_keywords_rank_by_count_then_position(spark):
     df = spark.createDataFrame([("a", "Krieg krieg Frieden kaiser Kaiser this über dass abc éclair")], "id string, text string")
     rows = K.top_keywords(df).orderBy("rank").collect()
     assert [(r["keyword"], r["n"]) for r in rows] == [("krieg", 2), ("kaiser", 2), ("frieden", 1), ("über", 1)]
+
+
+@pytest.mark.parametrize("k, direct_hits", [(1, 0), (3, 0), (10, 0), (3, 10**9)])
+def test_search_finds_the_same_best_as_full_scoring(spark, k, direct_hits):
+    r = random.Random(k)
+    common, rare = ["und", "war", "kaiser"], [f"wort{i}" for i in range(40)]
+    text = lambda n: " ".join(r.choice(common if r.random() < 0.6 else rare) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(r.randint(0, 30))) for i in range(200)] + [(900 + i, "und und war wort1") for i in range(5)], "id long, claim string")
+    queries = spark.createDataFrame([(i, text(8)) for i in range(15)] + [(99, "und"), (98, "nirgends")], "query_id long, text string")
+    full = {}
+    for row in S.bm25_scores(queries, docs).collect():
+        full.setdefault(row["query_id"], []).append((-row["score"], row["doc_id"]))
+    want = {q: [(d, -x) for x, d in sorted(hits)[:k]] for q, hits in full.items()}
+    got = {}
+    for row in S.bm25_search(queries, docs, k, 0.0, direct_hits=direct_hits).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["doc_id"], row["raw_score"]))
+    assert {q: [d for d, _ in v] for q, v in got.items()} == {q: [d for d, _ in v] for q, v in want.items()}
+    assert all(abs(a[1] - b[1]) < 1e-8 for q in want for a, b in zip(got[q], want[q]))
