@@ -4,8 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks import compare
-
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+from checks.registry import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
