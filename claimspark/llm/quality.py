@@ -30,8 +30,8 @@ COMMON_WORDS = {
 DEFAULT_LANG = "en"
 CHAR_CLASSES = ["lower", "upper", "digit", "punctuation", "symbol", "other"]
 
-MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.35
+MIN_CHARS, MIN_WORDS = 200, 100
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.28
 
 
 def _words(text: Column) -> Column:
