@@ -28,7 +28,9 @@ from claimspark.llm.common import text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PARTITION_SHIFT = 33  # sequence ids: partition number above, count within the partition below
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_000_000  # about 200 MB in a Python worker
+
+_encoders: dict[str, Callable[[str], bytes]] = {}  # of this worker process, which serves many tasks
 
 Piece = tuple  # (doc_id, start, length, crc, doc_tokens)
 
@@ -37,8 +39,11 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
     """A function from a text to its ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of its
-    blank-separated pieces one after another. Pieces are kept in a dictionary that is emptied when full.
+    blank-separated pieces one after another. Pieces are kept in a dictionary that is emptied when full;
+    a worker process keeps it from task to task.
     """
+    if path in _encoders:
+        return _encoders[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -57,6 +62,7 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
                 known[word] = np.array(got.ids, dtype="<u4").tobytes()
         return b"".join([known[w] for w in words])
 
+    _encoders[path] = encode
     return encode
 
 
