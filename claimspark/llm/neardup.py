@@ -9,8 +9,11 @@ that shares a prefix; its depth adapts, as a prefix with more than ``MAX_REGION`
 1. In the first trees, neighbours in the order, which share the longest prefixes, are candidates: a
    linear number of pairs, confirmed and contracted to components.
 2. In all trees, the members of a region that are still in different components are compared by their whole
-   signatures; pairs that could reach the bound are confirmed. Each pair is met in one tree only, the
-   first in which it shares a region, and a family of thousands of copies has no pairs left within a component.
+   signatures. Of the pairs that seem linked only those that join two components within the region, best first, are
+   confirmed and contracted: fewer pairs than members.
+3. The same comparison again, now of every pair in different components that could reach the bound. Each pair is met
+   in one tree only, the first in which it shares a region, and a family of thousands of copies has no
+   pairs left within a component.
 A region that stays too large at the greatest depth holds sets that agree in all of its minima; it is cut into blocks that
 each contain the same hub.
 
@@ -179,12 +182,33 @@ def neighbour_pairs(regions: DataFrame, reps: DataFrame, bound: float) -> DataFr
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
 
 
-def region_pairs(members: DataFrame, reps: DataFrame, bound: float) -> DataFrame:
-    """Pairs of one region in different components that can reach the bound, each from its first common tree."""
-    cut = bound - SLACK * (bound * (1 - bound) / SIGNATURE) ** 0.5
+def spanning(x: np.ndarray, y: np.ndarray, same: np.ndarray, component: dict[int, int]) -> np.ndarray:
+    """Which pairs, taken from the most similar on, join two components."""
+    root = {c: c for c in component.values()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    joins = np.zeros(len(x), dtype=bool)
+    for at in np.argsort(-same, kind="stable").tolist():
+        p, q = find(component[int(x[at])]), find(component[int(y[at])])
+        if p != q:
+            root[p], joins[at] = q, True
+    return joins
+
+
+def region_pairs(members: DataFrame, reps: DataFrame, bound: float, forest: bool) -> DataFrame:
+    """Pairs of one region in different components that can reach the bound, each from its first common tree.
+
+    With ``forest`` those whose estimate reaches it, and of them only as many as join components.
+    """
+    cut = bound if forest else bound - SLACK * (bound * (1 - bound) / SIGNATURE) ** 0.5
     first_cut = bound - SLACK * 1.3 * (bound * (1 - bound) / LEADING) ** 0.5
 
-    def pairs(rep, component, tree, minima, rest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(rep, component, tree, minima, rest) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         values, sizes = np.unique(component, return_counts=True)
         largest = values[np.argmax(sizes)]
         order = np.argsort(component == largest, kind="stable")  # the largest component last
@@ -196,10 +220,10 @@ def region_pairs(members: DataFrame, reps: DataFrame, bound: float) -> DataFrame
             if not len(j):
                 continue
             same = (minima[j] == minima[i]).sum(axis=1) + (rest[j] == rest[i]).sum(axis=1)
-            j = j[same >= cut * SIGNATURE]
-            j = j[(prefixes[j] == prefixes[i]).all(axis=2).argmax(axis=1) == tree]
-            if len(j):
-                yield np.full(len(j), rep[i]), rep[j]
+            j, same = j[same >= cut * SIGNATURE], same[same >= cut * SIGNATURE]
+            mine = (prefixes[j] == prefixes[i]).all(axis=2).argmax(axis=1) == tree
+            if mine.any():
+                yield np.full(int(mine.sum()), rep[i]), rep[j[mine]], same[mine]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_region(batches):
@@ -209,7 +233,12 @@ def region_pairs(members: DataFrame, reps: DataFrame, bound: float) -> DataFrame
             rest = _matrix(table.column("rest"), "u1", SIGNATURE - LEADING)
             for start, end in groups(region):
                 part = slice(start, end)
-                for x, y in pairs(rep[part], component[part], int(tree[start]), minima[part], rest[part]):
+                found = list(pairs(rep[part], component[part], int(tree[start]), minima[part], rest[part]))
+                if found:
+                    x, y, same = (np.concatenate(column) for column in zip(*found))
+                    if forest:
+                        joins = spanning(x, y, same, dict(zip(rep[part].tolist(), component[part].tolist())))
+                        x, y = x[joins], y[joins]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     rows = members.join(reps.select("rep", "minima", "rest"), "rep")
@@ -250,11 +279,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, max_region:
     links = checkpoint(confirmed(first, docs, reps, percent, k, id_col, text_col), "links")
     parts = connected_components(links)
 
-    placed = regions.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("region")
-    second = checkpoint(region_pairs(placed.join(mixed, "region", "left_semi"), reps, bound), "region-pairs")
-    more = confirmed(second, docs, reps, percent, k, id_col, text_col)
-    parts = connected_components(links.unionByName(more))
+    for forest in (True, False):
+        placed = regions.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("region")
+        pairs = checkpoint(region_pairs(placed.join(mixed, "region", "left_semi"), reps, bound, forest), "region-pairs")
+        links = links.unionByName(checkpoint(confirmed(pairs, docs, reps, percent, k, id_col, text_col), "links"))
+        parts = connected_components(links)
 
     rep_of = reps.select("digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(rep_of, "digest", "left")
