@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import decontam, linededup, neardup, packing, quality, toxicity
+from claimspark.llm import chat, decontam, linededup, neardup, packing, pii, quality, toxicity
 from claimspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,40 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
+CHAT_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(greatest(turn, 0) // {chat.PART_TURNS}, 0) AS part, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
+         replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+), d AS (
+  SELECT t.*, p.participant, t.role = p.participant AS own,
+         '<|' || CASE WHEN t.role = p.participant THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user name=' || t.role END || '|>' || chr(10) AS head
+  FROM t JOIN (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system') p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, length(head) + length(text) + 8 AS size,
+         coalesce(sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, part, participant ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d
+)
+SELECT conv_id, part, participant, count(*) AS n_turns, string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos) AS text,
+       coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + size - 1)::VARCHAR, ',' ORDER BY pos) FILTER (WHERE own), '') AS mask
+FROM o GROUP BY ALL
+"""
+
+
+@query("op3_perspective_rotation", CHAT_SQL)
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = chat.rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    mask = F.array_join(F.zip_with("mask_starts", "mask_ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string"))), ",")
+    return d.select("conv_id", "part", "participant", "n_turns", "text", mask.alias("mask"))
+
+
+PII_KEY = "example key, replaced in production"
+
+
+@query("op5_feistel_pseudonyms")
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+    return d.select("doc_id", "text", F.col("_values").alias("values"), F.col("_pseudonyms").alias("pseudonyms"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 

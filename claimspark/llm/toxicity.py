@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds, and a calibrated score per document.
 
 Learning. Tokens (lower-cased letters and digits) are hashed into ``BUCKETS`` buckets. Their log-odds between toxic and
-other labelled documents, where a document counts a token once, are smoothed by a Dirichlet prior with the token shares of the whole corpus, and count only if
+other labelled documents are smoothed by a Dirichlet prior with the token shares of the whole corpus, and count only if
 they lie ``MIN_Z`` standard errors from zero. Counting is a distributed sum whose result has at most ``BUCKETS`` rows.
 
 Search. Every token scores its log-odds less a small drift, so a text without evidence scores below zero. The
@@ -33,8 +33,8 @@ from claimspark.llm.common import text_slices
 from claimspark.session import bounded, checkpoint
 
 BUCKETS = 1 << 18
-PRIOR_TOKENS = 500.0
-MIN_Z = 2.0
+PRIOR_TOKENS = 5_000.0
+MIN_Z = 3.0
 DRIFT = 0.1
 MAX_CHANCE = 0.05
 FIT_ROWS = 200_000
@@ -59,7 +59,7 @@ def token_buckets(text: str | None, buckets: int) -> np.ndarray:
 
 
 def token_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, n (tokens), n_toxic and n_other (labelled documents with it) of (text, toxic: null where not for learning)."""
+    """bucket, n, n_toxic, n_other (tokens) over documents (text, toxic: null where not for learning)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, buckets), dtype=np.int64)
@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, buckets: int) -> DataFrame:
                 tokens = token_buckets(text, buckets)
                 np.add.at(sums[0], tokens, 1)
                 if toxic is not None:
-                    sums[1 if toxic else 2][np.unique(tokens)] += 1
+                    np.add.at(sums[1 if toxic else 2], tokens, 1)
         used = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(row[used]) for row in sums]], names=["bucket", "n", "n_toxic", "n_other"])
 
