@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat, decontam, linededup, neardup, packing, pii, quality, toxicity
+from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, pii, quality, toxicity
 from claimspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,11 @@ def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "part", "participant", "n_turns", "text", mask.alias("mask"))
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactspans.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 PII_KEY = "example key, replaced in production"
 
 
