@@ -158,7 +158,7 @@ def _sorted_repeats(rows: DataFrame) -> DataFrame:
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, data (binary) and ``doc``, a number in the order of ids: the id itself where ids are unique."""
+    """doc_id, data (binary) and ``doc``, a number in the order of ids: the id itself where all ids are unique."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     ids = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
     if ids.isEmpty():

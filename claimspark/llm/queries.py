@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, pii, quality, toxicity
+from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, passages, pii, quality, toxicity
 from claimspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,11 @@ def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", F.col("_values").alias("values"), F.col("_pseudonyms").alias("pseudonyms"))
 
 
+@query("op7_passage_chaining")
+def op7_passage_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
