@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import linededup, packing, quality
+from claimspark.llm import decontam, linededup, neardup, packing, quality
 from claimspark.llm.common import WORD, documents
 from claimspark.llm.queries import tokenizer_path
 from claimspark.session import shared_scratch
@@ -30,12 +30,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates."""
+    gone = neardup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.clean_documents(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-duplicates", near_dedup),
+          ("benchmark decontamination", decontaminate), ("packing", pack)]
 ORACLE_SQL = None
 
 
