@@ -56,13 +56,14 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
     per_doc = (lines.join(common, "line").groupBy("doc")
                .agg(F.collect_set("line").alias("_common"), F.collect_set(F.when(F.col("doc") == F.col("first"), F.col("line"))).alias("_kept"))
                .select(F.col("doc.id").alias("_id"), "_common", "_kept"))
-    d = docs.join(per_doc, docs[id_col].eqNullSafe(per_doc["_id"]), "left").drop("_id")
-    d = d.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    d = d.withColumn("_digests", F.when(F.col("_common").isNotNull(), _digests(F.col(text_col))))
-    stays = lambda line, i: (F.get("_digests", i).isNull() | ~F.array_contains("_common", F.get("_digests", i))
-                             | (F.array_contains("_kept", F.get("_digests", i)) & (F.array_position("_digests", F.get("_digests", i)) == i + 1)))
-    d = d.withColumn("_left", F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays)))
-    text = F.when(F.col("_common").isNull(), F.col(text_col)).otherwise(F.array_join("_left", "\n"))
-    counts = {"_n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0)).cast("long")}
-    return d.select(*[F.col(c) if c != text_col else text.alias(c) for c in docs.columns],
-                    *[F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(v).cast("long").alias(k) for k, v in counts.items()])
+    # the row travels as one struct, so its columns cannot clash with those of the work
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    d = d.join(per_doc, d["key"].eqNullSafe(per_doc["_id"]), "left")
+    d = d.withColumn("lines", F.split("text", "\n")).withColumn("digests", F.when(F.col("_common").isNotNull(), _digests(F.col("text"))))
+    stays = lambda line, i: (F.get("digests", i).isNull() | ~F.array_contains("_common", F.get("digests", i))
+                             | (F.array_contains("_kept", F.get("digests", i)) & (F.array_position("digests", F.get("digests", i)) == i + 1)))
+    d = d.withColumn("left", F.when(F.col("_common").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
+    text = F.when(F.col("_common").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
+    count = lambda n: F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")
+    return d.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns],
+                    count(F.size("lines")).alias("_n_lines"), count(F.size("lines") - F.size("left")).alias("_n_removed"))

@@ -39,7 +39,7 @@ from claimspark.llm.components import connected_components
 from claimspark.llm.shingles import MinHash, groups, mix, set_digest, shingle_set
 from claimspark.session import checkpoint
 
-TREES, DEPTHS = 32, (4, 8, 16)
+TREES, DEPTHS = 32, (4, 6, 8, 12, 16)
 LEADING = TREES * DEPTHS[0]  # minima kept whole, for the orders; of the others one byte is kept
 SIGNATURE = 768
 NEIGHBOUR_TREES = 4

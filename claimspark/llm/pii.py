@@ -143,11 +143,12 @@ def pseudonym(token: Column, key: str) -> Column:
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text_col`` and the columns ``_values`` (found) and ``_pseudonyms`` (their replacements)."""
-    some = F.col(text_col).rlike("[0-9]")
-    d = docs.withColumn("_values", F.when(some, F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    # the row travels as one struct, so its columns cannot clash with those of the work
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    d = d.withColumn("values", F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     # most texts hold no value: their lambda never runs
-    d = d.withColumn("_pseudonyms", F.transform("_values", lambda t: pseudonym(t, key)))
-    d = d.withColumn("_between", F.when(F.size("_values") > 0, F.split(F.col(text_col), ANY)))
-    filled = F.array_join(F.zip_with("_between", "_pseudonyms", lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
-    text = F.when(F.size("_values") > 0, filled).otherwise(F.col(text_col))
-    return d.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "_values", "_pseudonyms")
+    d = d.withColumn("new", F.transform("values", lambda t: pseudonym(t, key)))
+    d = d.withColumn("between", F.when(F.size("values") > 0, F.split("text", ANY)))
+    filled = F.array_join(F.zip_with("between", "new", lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+    text = F.when(F.size("values") > 0, filled).otherwise(F.col("text"))
+    return d.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns], F.col("values").alias("_values"), F.col("new").alias("_pseudonyms"))
