@@ -1,17 +1,21 @@
 """Removal of repeated byte strings: every byte under a ``LENGTH``-byte string that also starts earlier goes.
 
 Earlier means in a smaller document id, or further left in the same document; matches never cross documents and are
-judged on the input. The work follows the suffix sorting of a difference cover: a sample of positions is named, every other
-start is named by its offset to a sampled position, and neighbours in the sorted order are compared.
+judged on the input. The work follows the suffix sorting of a difference cover: a sample of positions is named by
+sorting, every other start is named through its offset to a sampled position, naming is repeated on finer pieces where a
+coarse name does not decide, and neighbours in the sorted order are compared.
 
 Cover. Any two equal strings need a sampled position at the same offset. Residue classes modulo v guarantee this
 with 1/sqrt(v) of all positions; here the position of the smallest hash among the ``GRAM``-byte grams of a string is taken,
-which depends on the string alone and samples about 2 / (LENGTH - GRAM + 2) of them, some 2.6 %.
+which depends on the string alone and samples about 2 / (LENGTH - GRAM + 2) of them, some 3 %.
 1. Starts that share a sampled position form a block. Blocks are named by the hash of the sampled gram and of all bytes
    under the block, and sorted by name, document and place. In a run of equal names every block but the first is removed
    whole: all its starts occur earlier.
-2. Where a gram has blocks of different names, the first block of each name is taken apart: its starts are named by
-   their own ``LENGTH`` bytes, sorted, and removed unless first. Later blocks need no look, as their starts are in the first.
+2. Where a gram has blocks of different names, the first block of each name is cut into cells of ``CELL`` starts at fixed
+   offsets from the sampled position. Cells are named by the bytes that all their starts share (the core) and by all
+   bytes under the cell, sorted, and treated alike. Later blocks need no look, as their starts are in the first.
+3. Where a core has cells of different names, the starts of the first cell of each name are named by the core and the
+   bytes around it, sorted, and removed unless first.
 Names are 128 bits (two 64-bit hashes). Each task names and removes repeats within what it holds before anything is
 shuffled, so a passage with a third of all rows reaches the sort as one row per task; the sorted runs are read as a
 stream that remembers one row.
@@ -32,18 +36,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import text_slices
+from claimspark.llm.common import freed_shuffles, text_slices
 from claimspark.llm.shingles import mix, powers
 from claimspark.session import checkpoint
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM, CELL = 100, 32, 16
 PIECE = 1 << 20  # starts handled at once
 FLUSH = 400_000  # names a task holds before it removes repeats among them and sends on the rest
 POSITION_BITS = np.uint64(31)
 POSITION_MASK = np.uint64((1 << 31) - 1)
-SPAN_BITS = 8
+LOW = 255  # a place: first start << 16 | sampled position - first start << 8 | last start - first start
 
 ROWS = "name long, second long, doc long, at long"
+REPEATS = "doc long, at long, name long, whole boolean"
 
 
 class Prefix:
@@ -69,10 +74,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n - width + 1], left[width - 1:n])
 
 
+def place_of(first: np.ndarray, offset: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return (first << 16) | (offset << 8) | span
+
+
 def blocks(data: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(name, second, first start, last start - first start) of the blocks of a text, piece by piece.
+    """(name, second, place) of the blocks of a text, piece by piece.
 
-    A block that a piece or the span limit cuts has another name than its copies, so its starts are compared singly.
+    A block that the end of a piece cuts has another name than its copies, so it is looked at in cells.
     """
     for begin in range(0, len(data) - length + 1, PIECE):
         part = data[begin:begin + PIECE + length - 1]
@@ -85,7 +94,7 @@ def blocks(data: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarra
         last = np.concatenate([first[1:], [len(chosen)]]) - 1
         sampled = chosen[first]
         second = mix(prefix.of(first, last + length) + (sampled - first).astype(np.uint64) * np.uint64(0x9E3779B1) + (last - first).astype(np.uint64))
-        yield grams[sampled], second | np.uint64(1), first + begin, last - first
+        yield grams[sampled], second | np.uint64(1), place_of(first + begin, sampled - first, last - first)
 
 
 def split_repeats(name: np.ndarray, second: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,127 +105,170 @@ def split_repeats(name: np.ndarray, second: np.ndarray, doc: np.ndarray, at: np.
     return order[first], order[~first]
 
 
-def named_batches(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """The rows to sort, and those already known as repeats: second = 0, under a name of their own."""
-    name, second, doc, at = (np.concatenate(p) for p in zip(*parts))
+def cells(data: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(name, second, place, surroundings) of the cells of some blocks: the core, the whole cell, and the bytes within
+    CELL - 1 of the core on either side."""
+    first, offset, span = places >> 16, (places >> 8) & LOW, places & LOW
+    low, high = (offset - span) // CELL, offset // CELL
+    n = high - low + 1
+    which = np.repeat(np.arange(len(places)), n)
+    cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
+    sampled = (first + offset)[which]
+    far, near = np.minimum(CELL * cell + CELL - 1, offset[which]), np.maximum(CELL * cell, (offset - span)[which])
+    prefix, core = Prefix(data), sampled - CELL * cell
+    core_end = core - CELL + 1 + length
+    name = prefix.of(core, core_end) + cell.astype(np.uint64)
+    second = mix(prefix.of(sampled - far, sampled - near + length) + far.astype(np.uint64) * np.uint64(0x9E3779B1) + near.astype(np.uint64)) | np.uint64(1)
+    padded = np.concatenate([np.zeros(CELL - 1, dtype=np.uint8), data, np.zeros(CELL - 1, dtype=np.uint8)])
+    steps = np.arange(CELL - 1)
+    around = np.concatenate([padded[core[:, None] + steps], padded[(core_end + CELL - 1)[:, None] + steps]], axis=1)
+    return mix(name), second, place_of(sampled - far, far, far - near), around
+
+
+def starts(name: np.ndarray, place: np.ndarray, around: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(name, second, place, index of its cell) of the single starts of some cells."""
+    far, span = (place >> 8) & LOW, place & LOW
+    for left in range(CELL):
+        offset = far // CELL * CELL + left
+        at = np.flatnonzero((offset <= far) & (offset >= far - span))
+        own = np.zeros((len(at), 16), dtype=np.uint8)
+        own[:, :CELL - 1] = np.concatenate([around[at, CELL - 1 - left:CELL - 1], around[at, CELL - 1:2 * (CELL - 1) - left]], axis=1)
+        low, high = own.view("<u8")[:, 0], own.view("<u8")[:, 1]
+        core = name[at]
+        yield (mix(core + mix(low) + mix(high + np.uint64(left + 1))), mix(core * np.uint64(0x9E3779B1) + mix(high) + low * np.uint64(0xC2B2AE35) + np.uint64(left)) | np.uint64(1),
+               ((place[at] >> 16) + far[at] - offset[at]) << 16, at)
+
+
+def batch_of(name, second, doc, at, around=None) -> pa.RecordBatch:
+    """The first of equal names, to be sorted, and the others as known repeats: second = 0, under a name of their own."""
     first, rest = split_repeats(name, second, doc, at)
     own = mix(doc[rest].astype(np.uint64) * np.uint64(0x9E3779B1) + at[rest].astype(np.uint64))
-    columns = (np.concatenate([name[first], own]), np.concatenate([second[first], np.zeros(len(rest), dtype=np.uint64)]),
-               np.concatenate([doc[first], doc[rest]]), np.concatenate([at[first], at[rest]]))
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["name", "second", "doc", "at"])
+    order = np.concatenate([first, rest])
+    columns = [np.concatenate([name[first], own]).view(np.int64), np.concatenate([second[first], np.zeros(len(rest), dtype=np.uint64)]).view(np.int64), doc[order], at[order]]
+    arrays, names = [pa.array(c) for c in columns], ["name", "second", "doc", "at"]
+    if around is not None:
+        width = around.shape[1]
+        fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(order), [None, pa.py_buffer(np.ascontiguousarray(around[order]).tobytes())])
+        arrays, names = [*arrays, fixed.cast(pa.binary())], [*names, "around"]
+    return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def name_rows(batches: Iterator[pa.RecordBatch], of_row) -> Iterator[pa.RecordBatch]:
-    """``of_row`` yields (name, second, at) arrays of one input row (as a dict); rows leave in chunks."""
+    """``of_row`` yields (name, second, at[, around]) arrays of one input row (as a dict); rows leave in chunks."""
     parts, held = [], 0
     for batch in text_slices(batches, 200):
         for row in batch.to_pylist():
-            for name, second, at in of_row(row):
-                parts.append((name, second, np.full(len(name), row["doc"], dtype=np.int64), at.astype(np.int64)))
+            for name, second, at, *around in of_row(row):
+                parts.append((name, second, np.full(len(name), row["doc"], dtype=np.int64), at.astype(np.int64), *around))
                 held += len(name)
             if held >= FLUSH:
-                yield named_batches(parts)
+                yield batch_of(*(np.concatenate(p) for p in zip(*parts)))
                 parts, held = [], 0
     if held:
-        yield named_batches(parts)
+        yield batch_of(*(np.concatenate(p) for p in zip(*parts)))
 
 
-REPEATS = "doc long, at long, name long, whole boolean"
+def name_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the single starts of cells (doc, at, name, around)."""
+    for batch in text_slices(batches, FLUSH // CELL):
+        doc, at, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "at", "name"))
+        around = np.frombuffer(b"".join(batch.column("around").to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
+        found = [np.concatenate(c) for c in zip(*starts(name.view(np.uint64), at, around))]
+        if len(doc):
+            yield batch_of(found[0], found[1], doc[found[3]], found[2])
 
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (name, second, doc, at): repeats (whole), and the first row of each of several
     ``second`` under one name (not whole). One row is carried from batch to batch."""
+
+    def marked(rows: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
+        more = ["around"] if "around" in rows.schema.names else []
+        arrays = [*(rows.column(c) for c in ("doc", "at", "name")), pa.array(np.full(rows.num_rows, whole)), *(rows.column(c) for c in more)]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc", "at", "name", "whole", *more])
+
     before: tuple[int, int] | None = None
-    pending: tuple[int, int, int] | None = None  # the first row of the current name, while it has one ``second``
+    pending: pa.RecordBatch | None = None  # the first row of the current name, while it has one ``second``
     for batch in batches:
-        known = batch.filter(pc.equal(batch.column("second"), 0))
+        yield marked(batch.filter(pc.equal(batch.column("second"), 0)), True)
         rows = batch.filter(pc.not_equal(batch.column("second"), 0))
-        name, second, doc, at = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("name", "second", "doc", "at"))
-        out = [(known.column("doc").to_numpy(zero_copy_only=False), known.column("at").to_numpy(zero_copy_only=False), np.zeros(known.num_rows, dtype=np.int64), np.ones(known.num_rows, dtype=bool))]
-        if len(name):
-            new_name = np.concatenate([[before is None or before[0] != name[0]], name[1:] != name[:-1]])
-            new = new_name | np.concatenate([[before is None or before[1] != second[0]], second[1:] != second[:-1]])
-            out.append((doc[~new], at[~new], name[~new], np.ones(int((~new).sum()), dtype=bool)))
-            firsts = np.flatnonzero(new)
-            later = firsts[~new_name[firsts]]
-            leads = firsts[:-1][new_name[firsts[:-1]] & ~new_name[firsts[1:]]] if len(firsts) else firsts
-            apart = np.concatenate([leads, later])
-            out.append((doc[apart], at[apart], name[apart], np.zeros(len(apart), dtype=bool)))
-            if len(firsts) and not new_name[firsts[0]] and pending is not None:
-                out.append(tuple(np.array([x], dtype=np.int64) for x in pending[1:]) + (np.array([pending[0]], dtype=np.int64), np.zeros(1, dtype=bool)))
-                pending = None
-            if new_name.any():
-                lead = int(np.flatnonzero(new_name)[-1])
-                pending = None if (new[lead + 1:]).any() else (int(name[lead]), int(doc[lead]), int(at[lead]))
-            before = (int(name[-1]), int(second[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["doc", "at", "name", "whole"])
-
-
-def _sorted_repeats(rows: DataFrame) -> DataFrame:
-    return rows.repartition("name").sortWithinPartitions("name", "second", "doc", "at").mapInArrow(compare_neighbours, REPEATS)
-
-
-def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, data (binary) and ``doc``, a number in the order of ids: the id itself where all ids are unique."""
+        if not rows.num_rows:
+            continue
+        name, second = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("name", "second"))
+        new_name = np.concatenate([[before is None or before[0] != name[0]], name[1:] != name[:-1]])
+        new = new_name | np.concatenate([[before is None or before[1] != second[0]], second[1:] != second[:-1]])
+        yield marked(rows.filter(pa.array(~new)), True)
+        firsts = np.flatnonzero(new)
+        leads = firsts[:-1][new_name[firsts[:-1]] & ~new_name[firsts[1:]]]
+        yield marked(rows.take(pa.array(np.concatenate([leads, firsts[~new_name[firsts]]]))), False)
+        if pending is not None and len(firsts) and not new_name[firsts[0]]:
+            yield marked(pending, False)
+            pending = None
+        if new_name.any():
+            lead = int(np.flatnonzero(new_name)[-1])
+            pending = None if new[lead + 1:].any() else rows.slice(lead, 1)
+        before = (int(name[-1]), int(second[-1]))
+
+
+def _sorted_repeats(rows: DataFrame, extra: str = "") -> DataFrame:
+    return rows.repartition("name").sortWithinPartitions("name", "second", "doc", "at").mapInArrow(compare_neighbours, REPEATS + extra)
+
+
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, data: binary, doc) and the distinct documents (doc, data).
+
+    ``doc`` is a number in the order of ids: the id itself where no id is null or repeated.
+    """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
     ids = d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
     if ids.isEmpty():
-        return d.withColumn("doc", F.col("doc_id"))
+        return d.withColumn("doc", F.col("doc_id")), d.select(F.col("doc_id").alias("doc"), "data")
     texts = d.withColumn("digest", F.md5("data"))
     keys = checkpoint(texts.select("doc_id", "digest").distinct().sort("doc_id", "digest").withColumn("doc", F.monotonically_increasing_id()), "keys")
     keys = keys.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "doc")
-    return checkpoint(texts.join(keys, texts["doc_id"].eqNullSafe(keys["_id"]) & (texts["digest"] == keys["_digest"])).select("doc_id", "data", "doc"), "keyed")
+    keyed = checkpoint(texts.join(keys, texts["doc_id"].eqNullSafe(keys["_id"]) & (texts["digest"] == keys["_digest"])).select("doc_id", "data", "doc"), "keyed")
+    return keyed, checkpoint(keyed.dropDuplicates(["doc"]).select("doc", "data"), "texts")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; null where nothing goes) and kept_sha256 of every row."""
-    if not 0 < length - gram < 1 << SPAN_BITS:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; null where nothing goes) of every row."""
+    if not max(gram, 2 * CELL) < length <= gram + LOW:
         raise ValueError("the gram must be shorter than the string by less than 256 bytes")
-    d = with_keys(docs, id_col, text_col)
+    rows, texts = with_keys(docs, id_col, text_col)
+    texts = texts.filter(F.octet_length("data") >= length)
 
     def name_blocks(row: dict):
-        for name, second, first, span in blocks(np.frombuffer(row["data"], dtype=np.uint8), length, gram):
-            yield name, second, (first << SPAN_BITS) | span
-
-    long = d.filter(F.octet_length("data") >= length)
-    found = checkpoint(_sorted_repeats(long.select("doc", "data").mapInArrow(lambda it: name_rows(it, name_blocks), ROWS)), "repeats")
-
-    per_doc = found.groupBy("doc").agg(F.collect_list(F.when(F.col("whole"), F.col("at"))).alias("whole"),
-                                       F.collect_list(F.when(~F.col("whole"), F.struct("at", "name"))).alias("apart"))
-    touched = checkpoint(long.select("doc", "data").join(per_doc, "doc"), "touched")
+        yield from blocks(np.frombuffer(row["data"], dtype=np.uint8), length, gram)
 
-    def name_starts(row: dict):
-        if row["apart"]:
-            data = np.frombuffer(row["data"], dtype=np.uint8)
-            at = np.array([x["at"] for x in row["apart"]], dtype=np.int64)
-            names = np.array([x["name"] for x in row["apart"]], dtype=np.int64).view(np.uint64)
-            size = (at & ((1 << SPAN_BITS) - 1)) + 1
-            start = np.repeat((at >> SPAN_BITS) - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            yield Prefix(data).of(start, start + length), np.repeat(names, size) | np.uint64(1), start << SPAN_BITS
+    def name_cells(row: dict):
+        yield cells(np.frombuffer(row["data"], dtype=np.uint8), np.array(row["places"], dtype=np.int64), length)
 
-    singles = _sorted_repeats(touched.filter("size(apart) > 0").select("doc", "data", "apart").mapInArrow(lambda it: name_rows(it, name_starts), ROWS))
-    more = singles.filter("whole").groupBy("doc").agg(F.collect_list("at").alias("single"))
+    with freed_shuffles(docs.sparkSession):
+        coarse = checkpoint(_sorted_repeats(texts.mapInArrow(lambda it: name_rows(it, name_blocks), ROWS)), "blocks")
+        places = coarse.filter("NOT whole").groupBy("doc").agg(F.collect_list("at").alias("places"))
+        cut_up = texts.join(places, "doc").mapInArrow(lambda it: name_rows(it, name_cells), ROWS + ", around binary")
+        fine = checkpoint(_sorted_repeats(cut_up, ", around binary"), "cells")
+        single = checkpoint(_sorted_repeats(fine.filter("NOT whole").mapInArrow(name_starts, ROWS)).filter("whole"), "starts")
+    gone = coarse.filter("whole").select("doc", "at").union(fine.filter("whole").select("doc", "at")).union(single.select("doc", "at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 200):
             out: list[tuple] = []
-            for data, whole, single in zip(*(batch.column(c).to_pylist() for c in ("data", "whole", "single"))):
-                at = np.array((whole or []) + (single or []), dtype=np.int64)
+            for data, places in zip(batch.column("data").to_pylist(), batch.column("places").to_pylist()):
+                at = np.array(places, dtype=np.int64)
                 edges = np.zeros(len(data) + 1, dtype=np.int32)
-                np.add.at(edges, at >> SPAN_BITS, 1)
-                np.add.at(edges, (at >> SPAN_BITS) + (at & ((1 << SPAN_BITS) - 1)) + length, -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((int(gone.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
+                np.add.at(edges, at >> 16, 1)
+                np.add.at(edges, (at >> 16) + (at & LOW) + length, -1)
+                removed = np.cumsum(edges[:-1]) > 0
+                kept = np.frombuffer(data, dtype=np.uint8)[~removed].tobytes()
+                out.append((int(removed.sum()), int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum()), kept, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out)) or [[] for _ in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column("doc")] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.string()))],
                                              names=["doc", "n_removed", "n_spans", "kept", "sha"])
 
-    cleaned = touched.join(more, "doc", "left").select("doc", "data", "whole", "single").mapInArrow(cut, "doc long, n_removed long, n_spans long, kept binary, sha string")
-    cleaned = cleaned.filter("n_removed > 0").dropDuplicates(["doc"])
-    rows = d.select("doc_id", "doc", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole_sha"))
-    return rows.join(cleaned, "doc", "left").select(
+    per_doc = gone.groupBy("doc").agg(F.collect_list("at").alias("places"))
+    cleaned = texts.join(per_doc, "doc").select("doc", "data", "places").mapInArrow(cut, "doc long, n_removed long, n_spans long, kept binary, sha string")
+    whole = rows.select("doc_id", "doc", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("whole_sha"))
+    return whole.join(cleaned, "doc", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
         F.coalesce("sha", "whole_sha").alias("kept_sha256"), "kept")

@@ -164,10 +164,15 @@ def test_repeated_bytes_of_odd_rows(odd):
 
 def test_pieces_of_a_long_text(monkeypatch):
     data = np.frombuffer(bytes(random.Random(1).choices(b"abc ", k=3000)), dtype=np.uint8)
-    whole = [np.concatenate(c) for c in zip(*exactspans.blocks(data, 100, 24))]
+    whole = [np.concatenate(c) for c in zip(*exactspans.blocks(data, 100, 32))]
     monkeypatch.setattr(exactspans, "PIECE", 700)
-    parts = [np.concatenate(c) for c in zip(*exactspans.blocks(data, 100, 24))]
-    assert (whole[3] + 1).sum() == (parts[3] + 1).sum() == 2901
+    parts = [np.concatenate(c) for c in zip(*exactspans.blocks(data, 100, 32))]
+    starts = lambda places: sorted(i for p in places.tolist() for i in range(p >> 16, (p >> 16) + (p & 255) + 1))
+    assert starts(whole[2]) == starts(parts[2]) == list(range(2901))
+    cells = exactspans.cells(data, whole[2], 100)
+    assert starts(cells[2]) == list(range(2901))
+    singles = [np.concatenate(c) for c in zip(*exactspans.starts(cells[0], cells[2], cells[3]))]
+    assert starts(singles[2]) == list(range(2901))
 
 
 # 5 pseudonyms
@@ -257,12 +262,12 @@ def test_fuzzy_passages(spark):
     assert set(by) == set(range(1, 40)) and all(r["partner_id"] < r["doc_id"] for r in got)
     for r in got:
         t = dict(data)[r["doc_id"]]
-        assert abs(len(t[:r["start"]].split()) - (20 + r["doc_id"])) <= 15 and 70 <= r["n_words"] <= 95 and r["n_edits"] <= 18
+        assert abs(len(t[:r["start"]].split()) - (20 + r["doc_id"])) <= 30 and 50 <= r["n_words"] <= 95 and r["n_edits"] <= 18
 
 
 def test_passages_of_odd_rows(odd):
     got = [tuple(r)[:2] for r in passages.repeated_passages(odd).collect()]
-    assert len(got) == 1 and passages.repeated_passages(odd.limit(0)).count() == 0
+    assert set(got) == {(6, 5)} and passages.repeated_passages(odd.limit(0)).count() == 0
 
 
 def test_chains_equal_the_quadratic_recurrence():
