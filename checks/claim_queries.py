@@ -81,7 +81,7 @@ _POOL = "pool AS (SELECT fact_id, ordinal, name, aliases, t AS node_type FROM fa
 _NAMES = "names AS (SELECT DISTINCT node_type, name AS claim_name FROM claim_nodes)"
 _CAND = """cand AS (SELECT n.node_type, n.claim_name, f.fact_id, f.ordinal FROM names n JOIN pool f ON f.node_type = n.node_type
     AND (f.name = n.claim_name OR list_contains(f.aliases, n.claim_name) OR contains(f.name, n.claim_name) OR contains(n.claim_name, f.name))),
-    few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_type, claim_name ORDER BY ordinal, fact_id) AS rn FROM cand) WHERE rn <= 10)"""
+    few AS (SELECT * FROM cand)"""
 
 
 def _cascade(pairs: str, threshold: float) -> str:
@@ -107,7 +107,7 @@ def _with(prefix: tuple[str, ...], ctes: str, body: str) -> str:
 
 @query("j1_fact_candidates", _with(("claim_nodes", "facts"), f"{_POOL},\n{_NAMES},\n{_CAND}", "SELECT node_type, claim_name, fact_id FROM few"))
 def j1(spark, d):
-    return R.fact_candidates(I.claim_nodes(spark, d), R.typed_facts(I.fact_nodes(spark, d)), 10)
+    return R.fact_candidates(I.claim_nodes(spark, d), R.typed_facts(I.fact_nodes(spark, d)))
 
 
 _MATCH_OUT = "SELECT claim_id, claim_ordinal, claim_name, fact_id, fact_name, round(match_score, 6) AS match_score, match_method, rank FROM matches"
@@ -745,9 +745,9 @@ def _swap_sql() -> str:
 _NEG = f"""pick AS (SELECT id, a, b, alt, alt[(('0x' || left(md5(id), 8))::BIGINT % len(alt)) + 1] AS wrong FROM (SELECT id, entities[1] AS a, entities[2] AS b, {_swap_sql().replace('CASE b', 'CASE entities[2]')} AS alt FROM seeds) WHERE alt IS NOT NULL)"""
 
 
-@query("j12_negative_seeds", _with(("kb",), _SEEDS, "SELECT id, claim FROM seeds ORDER BY id LIMIT 50"))
+@query("j12_negative_seeds", _with(("kb",), _SEEDS, "SELECT id, claim FROM seeds"))
 def j12(spark, d):
-    return K.negative_seeds(I.kb_facts(spark, d), 50).select("id", "claim")
+    return K.negative_seeds(I.kb_facts(spark, d)).select("id", "claim")
 
 
 @query("f31_negatives", _with(("kb",), f"{_SEEDS},\n{_NEG}", "SELECT 'adv_' || left(md5(a || '_' || wrong), 8) AS id, a || ' liegt in ' || wrong AS claim, 'Falsch. ' || a || ' liegt in ' || b || ', nicht in ' || wrong || '.' AS explanation, FALSE AS is_true FROM pick"))
@@ -755,7 +755,7 @@ def f31(spark, d):
     return K.negatives(K.negative_seeds(I.kb_facts(spark, d), None), I.REGION_SWAPS).select("id", "claim", "explanation", "is_true")
 
 
-@query("j11_new_facts", """SELECT id, claim FROM (SELECT 'geo_' || left(md5(a || '_' || b), 8) AS id, a || ' liegt in ' || b AS claim FROM (SELECT s_name AS a, r_name AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT a, b FROM kb_pairs)) WHERE id NOT IN (SELECT id FROM kb)""", ("kb",))
+@query("j11_new_facts", """SELECT id, claim FROM (SELECT 'geo_' || left(md5(a || '_' || b), 8) AS id, a || ' liegt in ' || b AS claim FROM (SELECT s_name AS a, r_name AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT a, b FROM kb_pairs)) c WHERE NOT EXISTS (SELECT 1 FROM kb WHERE kb.id = c.id AND kb.claim = c.claim) GROUP BY ALL""", ("kb",))
 def j11(spark, d):
     n = I.table(spark, d, "nation").join(I.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("s_nationkey"), F.col("r_name").alias("b"))
     s = I.table(spark, d, "supplier").join(n, "s_nationkey").select(F.col("s_name").alias("a"), "b")
@@ -771,7 +771,7 @@ def u3(spark, d):
     return K.growth_stats(K.grow_kb(I.kb_facts(spark, d), mined, wrong))
 
 
-@query("p10_sample_facts", "SELECT id, claim FROM (SELECT * FROM kb ORDER BY id LIMIT 1000) WHERE source = 'wikidata' ORDER BY id LIMIT 20", ("kb",))
+@query("p10_sample_facts", "SELECT id, claim FROM kb WHERE source = 'wikidata' ORDER BY id LIMIT 20", ("kb",))
 def p10(spark, d):
     return K.sample_facts(I.kb_facts(spark, d), "wikidata", 20).select("id", "claim")
 
@@ -781,7 +781,7 @@ def w9(spark, d):
     return K.balanced_sample(I.kb_facts(spark, d), 1000, "7").select("id", "is_true")
 
 
-@query("p9_training_data", "SELECT id, is_true FROM (SELECT * FROM kb ORDER BY id LIMIT 10000) WHERE claim_type = 'historical' AND NOT is_true ORDER BY id LIMIT 1000", ("kb",))
+@query("p9_training_data", "SELECT id, is_true FROM kb WHERE claim_type = 'historical' AND NOT is_true ORDER BY id LIMIT 1000", ("kb",))
 def p9(spark, d):
     return K.training_data(I.kb_facts(spark, d), claim_type="historical", only_false=True).select("id", "is_true")
 

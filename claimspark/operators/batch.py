@@ -17,13 +17,15 @@ DONE = ("success", "failed", "skipped")
 
 
 def mark_duplicates(items: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """Status ``queued`` for the first item of each text hash (by ``item``), ``skipped`` for its copies.
+    """Status ``queued`` for the first item of each text (by ``item``), ``skipped`` for its copies.
+
+    Texts are told apart by their whole digest; ``text_hash`` is its short form for display.
 
     The join back runs on the unique item id, not on the hash, so a text that makes up a third of
     the table does not gather in one task.
     """
     hashed = items.withColumn("text_hash", text_hash(F.col(text)))
-    first = hashed.groupBy("text_hash").agg(F.min(item).alias(item)).select(item, F.lit(True).alias("_first"))
+    first = hashed.groupBy(F.sha2(F.col(text), 256)).agg(F.min(item).alias(item)).select(item, F.lit(True).alias("_first"))
     return hashed.join(first, item, "left").withColumn(
         "status", F.when(F.col("_first"), "queued").otherwise("skipped")).drop("_first")
 

@@ -69,8 +69,8 @@ def misconception_facts(table: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("entities"), F.lit(1.0).alias("confidence"))
 
 
-def negative_seeds(kb: DataFrame, n: int | None = 50) -> DataFrame:
-    """True geographic facts none of whose entities a generated fact uses; the first n by id.
+def negative_seeds(kb: DataFrame, n: int | None = None) -> DataFrame:
+    """True geographic facts none of whose entities a generated fact uses; all, or the first n by id.
 
     Works per entity with an anti-join, so no entity list is ever held in one place.
     """
@@ -101,15 +101,19 @@ def negatives(seeds: DataFrame, swaps: dict[str, list[str]] | None = None) -> Da
 
 
 def new_facts(candidates: DataFrame, kb: DataFrame) -> DataFrame:
-    """Candidates whose id the knowledge base lacks, one row per id."""
-    return candidates.dropDuplicates(["id"]).join(kb.select("id"), "id", "left_anti").select(*candidates.columns)
+    """Candidates that the knowledge base lacks, one row each.
+
+    The short id is for display and may clash; a fact is known only if its id and its whole claim are.
+    """
+    return candidates.dropDuplicates(["id", "claim"]).join(kb.select("id", "claim"), ["id", "claim"], "left_anti").select(*candidates.columns)
 
 
-def grow_kb(kb: DataFrame, mined: DataFrame, misconceptions: DataFrame, max_negatives: int | None = 50) -> DataFrame:
+def grow_kb(kb: DataFrame, mined: DataFrame, misconceptions: DataFrame, max_negatives: int | None = None,
+            swaps: dict[str, list[str]] | None = None) -> DataFrame:
     """All new facts of one growth run: mined, misconceptions, then negatives over the grown base."""
     fresh = new_facts(mined.select(*FACT_COLUMNS).unionByName(misconceptions.select(*FACT_COLUMNS)), kb)
     grown = kb.select(*FACT_COLUMNS).unionByName(fresh)
-    extra = new_facts(negatives(negative_seeds(grown, max_negatives)), grown)
+    extra = new_facts(negatives(negative_seeds(grown, max_negatives), swaps), grown)
     return fresh.unionByName(extra)
 
 
@@ -132,11 +136,9 @@ def fact_stats(facts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), named.alias("dimension")).select("dimension", F.coalesce(*dims).alias("value"), "n")
 
 
-def sample_facts(facts: DataFrame, source: str | None = None, limit: int = 20, pool: int = 1000) -> DataFrame:
-    """The first ``pool`` facts by id, then an optional source filter, then the first ``limit``."""
-    df = facts.orderBy("id").limit(pool)
-    if source:
-        df = df.filter(F.col("source") == source)
+def sample_facts(facts: DataFrame, source: str | None = None, limit: int = 20) -> DataFrame:
+    """The first ``limit`` facts by id, of one source if it is given."""
+    df = facts.filter(F.col("source") == source) if source else facts
     return df.orderBy("id").limit(limit)
 
 
@@ -162,16 +164,14 @@ def balanced_sample(facts: DataFrame, limit: int = 1000, seed: str = "0") -> Dat
 
 
 def training_data(facts: DataFrame, limit: int = 1000, claim_type: str | None = None, only_true: bool = False,
-                  only_false: bool = False, balanced: bool = False, base: int = 10_000) -> DataFrame:
-    """Training rows: base limit (or balanced sample) first, filters after it, then the final limit."""
-    df = balanced_sample(facts, base) if balanced else facts.orderBy("id").limit(base)
-    if claim_type:
-        df = df.filter(F.col("claim_type") == claim_type)
+                  only_false: bool = False, balanced: bool = False) -> DataFrame:
+    """Training rows: the filters first, then the balanced sample or the first ``limit`` by id."""
+    df = facts.filter(F.col("claim_type") == claim_type) if claim_type else facts
     if only_true:
         df = df.filter(F.col("is_true"))
     if only_false:
         df = df.filter(~F.col("is_true"))
-    return df.orderBy("id").limit(limit)
+    return balanced_sample(df, limit) if balanced else df.orderBy("id").limit(limit)
 
 
 # ---- learning from analyses --------------------------------------------------------------------

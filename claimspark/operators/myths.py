@@ -7,6 +7,8 @@ popularity``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from claimspark.functions.names import strip
 from claimspark.functions.text import preview
 from claimspark.functions.tokens import jaccard, words
 from claimspark.operators.textjoin import containment_pairs
-from claimspark.session import bounded_rows
+from claimspark.session import bounded_rows, checkpoint
 
 INLINE_MYTHS = 256
 
@@ -53,16 +55,20 @@ def _literal(rows: list[Row]) -> Column:
         for r in rows])
 
 
+def _scored_literal(rows: list[Row]) -> Column:
+    """Scores of the claim ``_c``, ``_w`` against the myths of a literal: array of (score, neg, id)."""
+    return F.transform(_literal(rows), lambda m: F.struct(
+        _score(F.col("_c"), F.col("_w"), m["de"], m["en"], m["de_words"], m["en_words"], m["keywords"]).alias("score"),
+        (-m["ordinal"]).alias("neg"), m["id"].alias("id")))
+
+
 def _match_inline(claims: DataFrame, rows: list[Row], text: str) -> DataFrame:
     """All myths as one literal array: no join and no shuffle.
 
     The one-element explode keeps the optimizer from repeating the scoring in later filters.
     """
     base = claims.withColumns({"_c": strip(F.lower(text))}).withColumn("_w", F.array_distinct(words(F.col("_c"))))
-    scored = F.transform(_literal(rows), lambda m: F.struct(
-        _score(F.col("_c"), F.col("_w"), m["de"], m["en"], m["de_words"], m["en_words"], m["keywords"]).alias("score"),
-        (-m["ordinal"]).alias("neg"), m["id"].alias("id")))
-    best = base.withColumn("_best", F.explode(F.array(F.array_max(scored)))).drop("_c", "_w")
+    best = base.withColumn("_best", F.explode(F.array(F.array_max(_scored_literal(rows))))).drop("_c", "_w")
     return best.withColumns({"myth_id": F.col("_best.id"), "myth_score": F.col("_best.score")}).drop("_best")
 
 
@@ -112,15 +118,40 @@ def match_candidates(claims: DataFrame, prepared: DataFrame, min_score: float) -
 
 
 def _match_joined(claims: DataFrame, prepared: DataFrame, claim_id: str, text: str, min_score: float) -> DataFrame:
-    base = claims.select(F.col(claim_id).alias("_cid"), strip(F.lower(text)).alias("_c")).withColumn(
-        "_w", F.array_distinct(words(F.col("_c"))))
-    # An empty claim lies inside every text, so it ties everywhere and the first best myth wins.
+    """Best myth per claim through equi-joins, and the two cases in which everything pairs with everything:
+
+    an empty claim lies in every myth, so its best is one aggregate over the myths; a myth with an empty text or keyword
+    lies in every claim, so those myths are scored as literals, block by block.
+    """
+    prepared = checkpoint(prepared, "myths")
+    base = checkpoint(claims.select(F.col(claim_id).alias("_cid"), strip(F.lower(text)).alias("_c")).withColumn(
+        "_w", F.array_distinct(words(F.col("_c")))), "claims")
     pairs = match_candidates(base.filter(F.length("_c") > 0), prepared, min_score)
     scored = pairs.join(base, "_cid").join(prepared, "id").withColumn("score", _score(
         F.col("_c"), F.col("_w"), F.col("de"), F.col("en"), F.col("de_words"), F.col("en_words"), F.col("keywords")))
     best = scored.groupBy("_cid").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("neg"), "id")).alias("b"))
-    return claims.join(best.select(F.col("_cid").alias(claim_id), F.col("b.id").alias("myth_id"),
-                                   F.col("b.score").alias("myth_score")), claim_id, "left")
+    out = claims.join(best.withColumnRenamed("_cid", claim_id), claim_id, "left").withColumn("_c", strip(F.lower(text)))
+    out = out.withColumn("_w", F.array_distinct(words(F.col("_c"))))
+    for rows in _blocks(prepared.filter((F.col("de") == "") | F.array_contains("keywords", "")), INLINE_MYTHS):
+        out = out.withColumn("b", F.greatest("b", F.array_max(_scored_literal(rows))))
+    empty = prepared.select(_score(F.lit(""), F.array_distinct(words(F.lit(""))), F.col("de"), F.col("en"), F.col("de_words"), F.col("en_words"), F.col("keywords")).alias("score"),
+                            (-F.col("ordinal")).alias("neg"), "id").agg(F.max(F.struct("score", "neg", "id")).alias("b")).first()["b"]
+    if empty is not None:
+        literal = F.struct(F.lit(empty["score"]).alias("score"), F.lit(empty["neg"]).alias("neg"), F.lit(empty["id"]).alias("id")).cast(out.schema["b"].dataType)
+        out = out.withColumn("b", F.when(F.col("_c") == "", literal).otherwise(F.col("b")))
+    return out.withColumns({"myth_id": F.col("b.id"), "myth_score": F.col("b.score")}).drop("b", "_c", "_w")
+
+
+def _blocks(df: DataFrame, size: int) -> Iterator[list[Row]]:
+    """The rows in lists of at most ``size``, one list at a time on the driver."""
+    rows: list[Row] = []
+    for row in df.toLocalIterator():
+        rows.append(row)
+        if len(rows) == size:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
 
 
 def match_myths(claims: DataFrame, myths: DataFrame, min_score: float = 2, claim_id: str = "claim_id",
@@ -128,7 +159,7 @@ def match_myths(claims: DataFrame, myths: DataFrame, min_score: float = 2, claim
     """Append the best ``myth_id`` and ``myth_score``; null below ``min_score``. First myth wins ties.
 
     A myth table of at most ``inline_limit`` rows becomes a literal and the match a projection; a
-    larger one goes through equi-joins. Both give the same answer for non-empty claims.
+    larger one goes through equi-joins. Both give the same answer.
     """
     prepared = _prepared(myths)
     rows = bounded_rows(prepared, inline_limit)

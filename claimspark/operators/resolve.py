@@ -28,10 +28,10 @@ def typed_facts(facts: DataFrame) -> DataFrame:
     return facts.withColumn("node_type", F.explode(types)).filter(F.col("node_type").isin(L.NODE_TYPES))
 
 
-def fact_candidates(claim_nodes: DataFrame, facts: DataFrame, k: int | None = 10) -> DataFrame:
+def fact_candidates(claim_nodes: DataFrame, facts: DataFrame, k: int | None = None) -> DataFrame:
     """Facts of the same type with an equal, aliased, containing or contained name (case-sensitive).
 
-    At most ``k`` per claim name, by fact ordinal. Works on distinct (type, name) pairs so copies of
+    All of them, or the first ``k`` per claim name by fact ordinal. Works on distinct (type, name) pairs so copies of
     a claim name cost one row; those pairs are written once because both directions read them
     several times. Output: ``node_type, claim_name, fact_id``.
     """
@@ -81,12 +81,12 @@ def similarity_candidates(claim_nodes: DataFrame, facts: DataFrame, threshold: f
 
 
 def resolve_entities(
-    claim_nodes: DataFrame, facts: DataFrame, threshold: float = 0.8, candidates: str = "contained", k: int = 10
+    claim_nodes: DataFrame, facts: DataFrame, threshold: float = 0.8, candidates: str = "contained", k: int | None = None
 ) -> DataFrame:
     """Matches with score and method per claim node, best first.
 
-    ``candidates='contained'`` looks only at the k containment candidates, ``'all'`` finds every
-    match at the threshold. Output: ``claim_id, claim_ordinal, claim_name, claim_type, fact_id,
+    ``candidates='contained'`` scores every fact whose name or alias equals, holds or lies in the claim's name
+    (with ``k`` only the first k of them, which may lose an exact one), ``'all'`` finds every match at the threshold. Output: ``claim_id, claim_ordinal, claim_name, claim_type, fact_id,
     fact_name, fact_type, match_score, match_method, rank``.
     """
     pool = typed_facts(facts.withColumn("_declared", F.col("node_type")))

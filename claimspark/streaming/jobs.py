@@ -30,7 +30,8 @@ def stream_facts(spark: SparkSession, path: str, schema: str = S.FACTS, max_file
 
 def stream_dedup(claims: DataFrame, ttl: str = "24 hours", text: str = "text", ts: str = "ts") -> DataFrame:
     """First claim per text hash within the TTL."""
-    return claims.withColumn("text_hash", text_hash(F.col(text))).withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["text_hash"])
+    hashed = claims.withColumns({"text_hash": text_hash(F.col(text)), "_digest": F.sha2(F.col(text), 256)})
+    return hashed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 
 def stream_progress(items: DataFrame, ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:

@@ -72,6 +72,20 @@ def test_joined_myth_match_equals_inline(spark):
     assert inline[0][0] == "bonaparte_height" and inline[7] == (None, None)
 
 
+def test_joined_myth_match_equals_inline_on_blanks(spark):
+    schema = ("id string, ordinal int, claim string, claim_en string, category string, era string, status string, truth string, truth_en string, "
+              "origin struct<source:string,date:string,reason:string>, sources array<struct<title:string>>, keywords array<string>, debunked_by array<string>, related_myths array<string>, popularity int")
+    rest = ("c", "e", "myth", "t", None, None, [], [], [], 1)
+    row = lambda i, de, en, kw: (f"m{i}", i, de, en, *rest[:6], rest[6], kw, [], [], 1)
+    myths = spark.createDataFrame([row(0, "flat earth was taught", None, ["earth"]), row(1, "", "tall tale", ["moon"]), row(2, "moon of cheese", "", ["", "cheese"]),
+                                   row(3, "", None, []), row(4, "moon of cheese", "cheese moon", ["cheese"])], schema)
+    texts = ["", "  ", None, "moon", "earth", "cheese moon", "nothing in common", "tall tale of the moon of cheese", "flat earth was taught"]
+    claims = spark.createDataFrame(list(enumerate(texts)), "claim_id long, text string")
+    pick = lambda df: {r["claim_id"]: (r["myth_id"], r["myth_score"] and round(r["myth_score"], 9)) for r in df.collect()}
+    for base in (myths, myths.filter("ordinal in (0, 4)")):
+        assert pick(M.match_myths(claims, base)) == pick(M.match_myths(claims, base, inline_limit=0))
+
+
 def brute_related(edges, pop, depth, k):
     near = {}
     for a, b in edges:

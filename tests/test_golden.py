@@ -11,6 +11,7 @@ from claimspark.operators import chronology as C
 from claimspark.operators import consensus as Q
 from claimspark.operators import evidence as E
 from claimspark.operators import features as feat
+from claimspark.operators import kb as K
 from claimspark.operators import resolve as R
 from claimspark.operators import search
 from claimspark.plans import validate as V
@@ -90,6 +91,20 @@ def test_resolution_cascade(spark):
     assert {(r["claim_name"], r["fact_id"]) for r in near} == {("Napoleon", "f1")}
 
 
+def test_exact_name_wins_over_many_containing_ones(spark):
+    facts = spark.createDataFrame([(f"f{i}", i, f"Napoleon monument number {i}", "Person", []) for i in range(14)] + [("last", 99, "Napoleon", "Person", [])], FACTS)
+    claims = spark.createDataFrame([("c", 0, "Napoleon", "Person")], "claim_id string, ordinal int, name string, node_type string")
+    assert [(r["fact_id"], r["match_score"]) for r in R.resolve_entities(claims, facts).collect()] == [("last", 1.0)]
+    assert R.fact_candidates(claims, facts).count() == 15
+
+
+def test_facts_with_one_short_id_are_told_apart(spark):
+    schema = "id string, claim string, is_true boolean, explanation string, source string, claim_type string, entities array<string>, confidence double"
+    row = lambda claim: ("geo_12345678", claim, True, "", "wikidata", "geographic", [], 1.0)
+    fresh = K.new_facts(spark.createDataFrame([row("a liegt in b"), row("c liegt in d"), row("c liegt in d"), row("e liegt in f")], schema), spark.createDataFrame([row("e liegt in f")], schema))
+    assert sorted(r["claim"] for r in fresh.collect()) == ["a liegt in b", "c liegt in d"]
+
+
 def test_validation_status(spark):
     claims = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("e",)], "claim_id string")
     issue = lambda c, sev: (c, "x", sev, "", None, None, None, 1.0)
