@@ -113,7 +113,7 @@ def _gnd_raw(spark, d) -> DataFrame:
 
 @query("s8_ingest_gnd", f"""WITH {_LIFE} SELECT 'G' || c_custkey AS authority_id, CASE WHEN c_custkey % 7 = 0 THEN 'P ' || c_name ELSE c_name END AS name, 'v' || c_custkey || '|w' AS variants,
     CASE c_custkey % 5 WHEN 0 THEN 'Organization' WHEN 1 THEN 'Location' ELSE 'Person' END AS entity_type, CASE c_custkey % 3 WHEN 0 THEN b WHEN 1 THEN date_trunc('month', b)::DATE ELSE date_trunc('year', b)::DATE END AS birth_date,
-    'a, ' || c_mktsegment || ', c | bio ' || c_name AS description FROM life WHERE c_custkey % 13 <> 0 AND c_custkey % 17 <> 0""")
+    'a, ' || c_mktsegment || ', c, d | bio ' || c_name AS description FROM life WHERE c_custkey % 13 <> 0 AND c_custkey % 17 <> 0""")
 def s8(spark, d):
     r = P.ingest_gnd(_gnd_raw(spark, d))
     return r.select("authority_id", "name", F.array_join("name_variants", "|").alias("variants"), "entity_type", "birth_date", "description")
@@ -152,7 +152,7 @@ def s10(spark, d):
 
 
 @query("s11_ingest_getty", """SELECT CAST(s_suppkey AS VARCHAR) AS authority_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'getty_tgn' ELSE 'getty_ulan' END AS source,
-    CASE WHEN s_suppkey % 3 <> 0 THEN make_date(1500 + s_nationkey, 1, 1) END AS birth_date, left(repeat('note ', 120), 500) AS description FROM supplier WHERE s_suppkey % 7 <> 0""")
+    CASE WHEN s_suppkey % 3 <> 0 THEN make_date(1500 + s_nationkey, 1, 1) END AS birth_date, repeat('note ', 120) AS description FROM supplier WHERE s_suppkey % 7 <> 0""")
 def s11(spark, d):
     k = F.col("s_suppkey")
     text = js('{"subject":{"value":"http://vocab.example/', k.cast("string"), '"},"prefLabel":{"value":"', F.when(k % 7 == 0, "").otherwise(F.col("s_name")),
@@ -174,7 +174,7 @@ def s12(spark, d):
 
 
 @query("s13_bindings_to_nodes", f"""WITH {_LIFE} SELECT 'Person' AS node_type, c_name AS name, b AS birth_date, CAST(NULL AS DATE) AS start_date, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS VARCHAR) AS description FROM life
-    UNION ALL SELECT 'Location', n_name, NULL, NULL, n_nationkey / 2.0::DOUBLE, NULL FROM nation UNION ALL SELECT 'Event', c_name, NULL, b, NULL, left(repeat('about ', 100), 500) FROM life""")
+    UNION ALL SELECT 'Location', n_name, NULL, NULL, n_nationkey / 2.0::DOUBLE, NULL FROM nation UNION ALL SELECT 'Event', c_name, NULL, b, NULL, repeat('about ', 100) FROM life""")
 def s13(spark, d):
     val = lambda key, c: js(f'"{key}":{{"value":"', c, '"}')
     life = _life(spark, d)
@@ -220,7 +220,7 @@ _EXPECT = {
     "claimbuster": ("p_name", "NULL", "'Check-worthiness score: ' || '0.' || (p_partkey % 90 + 10) || ' - ' || CASE WHEN p_partkey % 90 + 10 > 70 THEN 'Highly check-worthy claim' WHEN p_partkey % 90 + 10 > 50 THEN 'Moderately check-worthy claim' ELSE 'Low check-worthiness' END",
                     "(p_partkey % 90 + 10) / 100.0", 0.85, "NULL"),
     "crossref": ("p_name", "'https://doi.org/10.' || p_partkey", "'Authors: A B,  C | Published: 1999'", "p_size / 100.0", 0.8, "NULL"),
-    "openlibrary": ("p_name", "'https://openlibrary.org/works/' || p_partkey", "'Author: A, B, C | Year: 1950'", "0.7", 0.8, "NULL"),
+    "openlibrary": ("p_name", "'https://openlibrary.org/works/' || p_partkey", "'Author: A, B, C, D | Year: 1950'", "0.7", 0.8, "NULL"),
 }
 
 

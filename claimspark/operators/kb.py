@@ -208,7 +208,7 @@ def build_candidates(analyses: DataFrame, min_confidence: float = 0.7) -> DataFr
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"]).alias("keywords"))
     t = F.col("source_text")
     return df.join(words.withColumnRenamed("text_id", "id"), "id", "left").select(
-        "id", F.coalesce(F.get("claims", F.lit(0))["original_claim"], F.left(t, F.lit(200))).alias("claim"),
+        "id", F.coalesce(F.get("claims", F.lit(0))["original_claim"], t).alias("claim"),
         F.coalesce("summary_for_users", F.lit("")).alias("truth"), guess_category(t).alias("category"),
         guess_era(t).alias("era"), F.when(F.col("overall_verdict") == "myth", "myth").otherwise("false").alias("status"),
         F.col("mean_confidence").alias("confidence_score"),

@@ -64,7 +64,7 @@ def _record(df: DataFrame, raw: DataFrame, source, authority_id, name, variants,
 
 # ---- authority records -------------------------------------------------------------------------
 def ingest_gnd(raw: DataFrame) -> DataFrame:
-    """Id required, name with fallback, string variants, three occupations and 200 characters of biography."""
+    """Id required, name with fallback, string variants, all occupations and the whole biography."""
     df = _parsed(raw).withColumns({"id": _text("$.gndIdentifier"), "types": _strings(_list("$.type"))}).filter(
         F.coalesce("id", F.lit("")) != "")
     derived = F.when(F.array_contains("types", "Person"), "Person").when(
@@ -72,8 +72,8 @@ def ingest_gnd(raw: DataFrame) -> DataFrame:
         F.array_contains("types", "CorporateBody"), "Organization").otherwise("Person")
     jobs = F.filter(_list("$.professionOrOccupation"), lambda o: F.schema_of_variant(o).startswith("OBJECT"))
     labels = F.transform(jobs, lambda o: F.coalesce(F.try_variant_get(o, "$.label", "string"), F.lit("")))
-    occupations = F.when(F.size(labels) > 0, F.array_join(F.slice(labels, 1, 3), ", "))
-    bio = F.left(_first_or_self("$.biographicalOrHistoricalInformation"), F.lit(200))
+    occupations = F.when(F.size(labels) > 0, F.array_join(labels, ", "))
+    bio = _first_or_self("$.biographicalOrHistoricalInformation")
     described = F.concat_ws(" | ", occupations, F.when(bio != "", bio))
     birth, death = _first_or_self("$.dateOfBirth"), _first_or_self("$.dateOfDeath")
     name = F.coalesce(F.nullif(_text("$.preferredName"), F.lit("")), _text("$.preferredNameForThePerson"), F.lit(""))
@@ -82,12 +82,12 @@ def ingest_gnd(raw: DataFrame) -> DataFrame:
 
 
 def ingest_viaf(raw: DataFrame) -> DataFrame:
-    """Main heading as list or object, up to ten variants, bare-year dates."""
+    """Main heading as list or object, all variants, bare-year dates."""
     df = _parsed(raw)
     heading = F.coalesce(_text("$.mainHeadings.data[0].text"), _text("$.mainHeadings.data.text"))
     df = df.withColumns({"id": _text("$.viafID"), "heading": heading}).filter(
         (F.coalesce("id", F.lit("")) != "") & (F.coalesce("heading", F.lit("")) != ""))
-    variants = F.transform(F.slice(_list("$.x400s.x400"), 1, 10),
+    variants = F.transform(_list("$.x400s.x400"),
                            lambda x: F.try_variant_get(x, "$.datafield.subfield.content", "string"))
     birth, death = _text("$.birthDate"), _text("$.deathDate")
     return _record(df, raw, "viaf", F.col("id"), F.col("heading"), F.filter(variants, lambda x: F.coalesce(x, F.lit("")) != ""),
@@ -121,7 +121,7 @@ def ingest_getty(raw: DataFrame, vocabulary: str = "ulan") -> DataFrame:
     kind = _type(raw, F.lit("Person"))
     source = F.when(kind == "Location", "getty_tgn").when(kind == "Person", "getty_ulan").otherwise(f"getty_{vocabulary}")
     start, end = _text("$.start.value"), _text("$.end.value")
-    note = F.left(F.nullif(_text("$.scopeNote.value"), F.lit("")), F.lit(500))
+    note = F.nullif(_text("$.scopeNote.value"), F.lit(""))
     return _record(df, raw, source, F.element_at(F.split("subject", "/"), -1), F.col("name"), F.array().cast("array<string>"),
                    kind, start, end, year_date(start), year_date(end), note, "verified")
 
@@ -136,7 +136,7 @@ def records_to_nodes(records: DataFrame) -> DataFrame:
     t = F.col("entity_type")
     when = lambda kind, c: F.when(t == kind, F.col(c))
     return records.filter(t.isin("Person", "Event", "Location", "Organization")).select(
-        "ordinal", t.alias("node_type"), "name", F.slice("name_variants", 1, 5).alias("aliases"), "description",
+        "ordinal", t.alias("node_type"), "name", F.col("name_variants").alias("aliases"), "description",
         F.lit("Fact").alias("source_label"), F.lit(1.0).alias("confidence"),
         when("Person", "birth_date").alias("birth_date"), when("Person", "death_date").alias("death_date"),
         when("Event", "birth_date").alias("start_date"), when("Event", "death_date").alias("end_date"), "source", "authority_id")
@@ -194,7 +194,7 @@ def bindings_to_nodes(raw: DataFrame, entity_type: str, dialect: str = "statemen
         lat, lon = value("lat").try_cast("double"), value("long").try_cast("double")
         point = F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
     if dialect == "ontology" and entity_type != "Location":
-        description = F.left(F.nullif(value("abstract"), F.lit("")), F.lit(500))
+        description = F.nullif(value("abstract"), F.lit(""))
     return df.withColumn("_name", name).filter(F.coalesce("_name", F.lit("")) != "").select(
         _ordinal(raw).alias("ordinal"), F.lit(entity_type).alias("node_type"), F.col("_name").alias("name"),
         description.alias("description"), F.lit("Fact").alias("source_label"), F.lit(1.0).alias("confidence"),
@@ -236,7 +236,7 @@ def ingest_source_results(raw: DataFrame, source: str) -> DataFrame:
     if source == "gnd":
         title = F.coalesce(_text("$.member[0].preferredName"), F.lit(""))
         part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{label}: "), c))
-        jobs = F.transform(F.slice(_list("$.member[0].professionOrOccupation"), 1, 3), lambda o: F.coalesce(
+        jobs = F.transform(_list("$.member[0].professionOrOccupation"), lambda o: F.coalesce(
             F.try_variant_get(o, "$.label", "string"), F.try_variant_get(o, "$", "string")))
         info = F.concat_ws(" | ", part("Name", _text("$.member[0].preferredName")),
                            part("Info", _first_or_self("$.member[0].biographicalOrHistoricalInformation")),
@@ -282,7 +282,7 @@ def ingest_source_results(raw: DataFrame, source: str) -> DataFrame:
                        relevance=score)
     if source == "crossref":
         item = "$.message.items[0]"
-        people = F.slice(_list(f"{item}.author"), 1, 3)
+        people = _list(f"{item}.author")
         names = F.transform(people, lambda a: F.concat_ws(" ", F.coalesce(F.try_variant_get(a, "$.given", "string"), F.lit("")),
                                                           F.coalesce(F.try_variant_get(a, "$.family", "string"), F.lit(""))))
         authors = F.when(F.size(people) > 0, F.array_join(names, ", ")).otherwise("Unknown")
@@ -293,7 +293,7 @@ def ingest_source_results(raw: DataFrame, source: str) -> DataFrame:
                        extract=F.concat(F.lit("Authors: "), authors, F.lit(" | Published: "), year),
                        relevance=F.coalesce(F.try_variant_get("v", f"{item}.score", "double"), F.lit(0.0)) / 100)
     if source == "openlibrary":
-        listed = F.slice(F.try_variant_get("v", "$.docs[0].author_name", "array<string>"), 1, 3)
+        listed = F.try_variant_get("v", "$.docs[0].author_name", "array<string>")
         authors = F.coalesce(F.array_join(listed, ", "), F.lit("Unknown"))
         key = F.nullif(_text("$.docs[0].key"), F.lit(""))
         return _result(df, "Open Library", "academic", academic, _has("$.docs"), title=F.coalesce(_text("$.docs[0].title"), F.lit("")),
