@@ -426,48 +426,55 @@ def m4(spark, d):
     return _examples(spark, d).groupBy("source", "label", "weight").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m1_m2_m3_train_and_score")
+# Learned scores have no SQL; what must hold for each of them has: their range and their blend.
+@query("m1_m2_m3_train_and_score", "SELECT doc_id, TRUE AS in_range, TRUE AS blended FROM documents")
 def m1(spark, d):
     model = ML.train_confidence(_examples(spark, d), ML.MIN_EXAMPLES_TEXT)
     rows = feat.with_vector(with_text_features(I.docs(spark, d)), feat.TEXT_VECTOR)
     scored = ML.score_confidence(rows, rule_score_text(), model, ML.TEXT_WEIGHTS)
-    return scored.select("doc_id", *[r6(F.col(c), c) for c in ("rule_score", "lr_score", "rf_score", "confidence")])
+    rule, lr, rf, blend = (F.col(c) for c in ("rule_score", "lr_score", "rf_score", "confidence"))
+    inside = lr.between(0, 1) & rf.between(0, 1) & blend.between(0, 1)
+    return scored.select("doc_id", inside.alias("in_range"), (F.abs(0.3 * rule + 0.35 * lr + 0.35 * rf - blend) < 1e-6).alias("blended"))
 
 
-@query("s20_a26_saved_model_accuracy")
+_ACCURACY = "SELECT count(*) AS num_examples, sum(label)::BIGINT AS num_correct, TRUE AS recomputed, TRUE AS not_below_guessing FROM ({})"
+_LABELLED = "SELECT (quality = 1)::INT AS label FROM labels JOIN documents USING (doc_id)"
+
+
+def _accuracy_facts(scored) -> DataFrame:
+    """The counts, whether the accuracy is that of the rows, and whether it is at least the share of the commoner label."""
+    rows = scored.agg(F.sum("label").cast("bigint").alias("num_correct"), F.count_if((F.col("confidence") > 0.5) == (F.col("label") > 0.5)).alias("_right"))
+    both = ML.accuracy(scored).crossJoin(rows)  # two single rows
+    share = F.col("num_correct") / F.col("num_examples")
+    return both.select("num_examples", "num_correct", (F.abs(F.col("_right") / F.col("num_examples") - F.col("training_accuracy")) < 1e-9).alias("recomputed"),
+                       (F.col("training_accuracy") >= F.greatest(share, 1 - share) - 0.02).alias("not_below_guessing"))
+
+
+@query("s20_a26_saved_model_accuracy", _ACCURACY.format(_LABELLED))
 def s20(spark, d):
     path = shared_scratch(spark, "model")
     examples = _examples(spark, d).filter(F.col("source") == "quality")
     ML.save_model(ML.train_confidence(examples, ML.MIN_EXAMPLES_TEXT), path)
     scored = ML.score_confidence(examples, F.lit(0.5), ML.load_model(path), ML.TEXT_WEIGHTS)
-    return ML.accuracy(scored)
+    return _accuracy_facts(scored)
 
 
-@query("x8_stream_learn")
+@query("x8_stream_learn", _ACCURACY.format(_LABELLED + " UNION ALL SELECT (toxic = 0)::INT FROM labels JOIN documents USING (doc_id)"))
 def x8(spark, d):
     base = shared_scratch(spark, "learn")
     source = _source(spark, _landed(spark, _examples(spark, d), "examples", "weight", 2), 1)
     J.stream_learn(source, f"{base}/store", f"{base}/model", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     scored = ML.score_confidence(_examples(spark, d), F.lit(0.5), ML.load_model(f"{base}/model"), ML.TEXT_WEIGHTS)
-    return ML.accuracy(scored)
+    return _accuracy_facts(scored)
 
 
-def _stateful_ready() -> bool:
+@query("x5_stream_reuse", _REUSE + " SELECT event_id AS request_id, event_id NOT IN (SELECT first_id FROM miss) AS hit FROM events")
+def x5s(spark, d):
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, J.ROCKSDB)
     try:
-        import google.protobuf  # noqa: F401 - the state client of the Python processor needs it
-    except ImportError:
-        return False
-    return True
-
-
-if _stateful_ready():
-    @query("x5_stream_reuse", _REUSE + " SELECT event_id AS request_id, event_id NOT IN (SELECT first_id FROM miss) AS hit FROM events")
-    def x5s(spark, d):
-        setting = "spark.sql.streaming.stateStore.providerClass"
-        before = spark.conf.get(setting)
-        spark.conf.set(setting, J.ROCKSDB)
-        try:
-            requests = _requests(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-            return _drain(J.stream_reuse(_source(spark, _landed(spark, requests, "requests", "ts"), 1000))).select("request_id", "hit")
-        finally:
-            spark.conf.set(setting, before)
+        requests = _requests(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+        return _drain(J.stream_reuse(_source(spark, _landed(spark, requests, "requests", "ts"), 1000))).select("request_id", "hit")
+    finally:
+        spark.conf.set(setting, before)

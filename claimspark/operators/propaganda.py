@@ -44,14 +44,56 @@ def literal_anchors(regex: str) -> list[str]:
     return anchors
 
 
+def two_parts(regex: str) -> tuple[str, str, bool] | None:
+    """(first, second, wanted) of a pattern "first.*second" or "first(?!.*second)", else None."""
+    if regex.endswith(")") and "(?!.*" in regex:
+        first, second = regex[:-1].split("(?!.*", 1)
+        return first, second, False
+    cut = regex.rfind(r"\b.*\b(")
+    return (regex[:cut + 2], regex[cut + 4:], True) if cut > 0 else None
+
+
+def _flags(regex: str) -> str:
+    return _FLAGS[:-1] + "iu)" if re.search(r"(?<!\\)[A-Z]", regex) else _FLAGS
+
+
+def _lines(low: Column, regex: str) -> tuple[Column, str]:
+    """The parts of a text in which the pattern can match, and the pattern to look for in them.
+
+    A pattern of two parts that is tried at every place of a line is quadratic in its length. Nothing behind the
+    last second part of a line can belong to a match, and nothing before it to a match that must not be followed by
+    it, so lines are cut there first; then the first try at a first part succeeds.
+    """
+    parts, flags = two_parts(regex), _flags(regex)
+    if not parts:
+        return F.array(low), flags + regex
+    first, second, wanted = parts
+    anchors = literal_anchors(first), literal_anchors(second)
+    lines = F.filter(F.split(low, "\n"), lambda x: contains_any(x, anchors[0])) if anchors[0] else F.split(low, "\n")
+    upto = flags + "^.*" + second
+    if not wanted:
+        return F.transform(lines, lambda x: F.regexp_replace(x, upto, "")), flags + first
+    if anchors[1]:
+        lines = F.filter(lines, lambda x: contains_any(x, anchors[1]))
+    return F.transform(lines, lambda x: F.regexp_extract(x, upto, 0)), flags + regex
+
+
 def _count(low: Column, regex: str) -> Column:
     """Occurrences of a pattern; texts without any of its anchor words skip the regex."""
-    flags = _FLAGS[:-1] + "iu)" if re.search(r"(?<!\\)[A-Z]", regex) else _FLAGS
-    n = F.regexp_count(low, F.lit(flags + regex))
+    lines, pattern = _lines(low, regex)
+    n = F.aggregate(F.transform(lines, lambda x: F.regexp_count(x, F.lit(pattern))), F.lit(0), lambda a, x: a + x) if two_parts(regex) else F.regexp_count(low, F.lit(pattern))
     anchors = literal_anchors(regex)
     return F.when(contains_any(low, anchors), n).otherwise(F.lit(0)) if anchors else n
 
 
+def _first_match(low: Column, regex: str) -> Column:
+    """The words of the first group of the first match, null without one."""
+    lines, pattern = _lines(low, regex)
+    found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1)), lambda m: m != "")
+    anchors = literal_anchors(regex)
+    return F.when(contains_any(low, anchors), F.get(found, F.lit(0))) if anchors else F.get(found, F.lit(0))
+
+
 def _confidence(n: Column, weight: float) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), F.round(F.least(F.lit(1.0), n * 0.1 + 0.5) * weight, 2)))
 
@@ -77,6 +119,25 @@ def best_per_technique(low: Column, patterns=tuple(L.TECHNIQUE_PATTERNS)) -> Col
     return F.filter(F.array(*entries), lambda e: e["confidence"].isNotNull())
 
 
+def evidence(low: Column, patterns=tuple(L.TECHNIQUE_PATTERNS)) -> Column:
+    """Array of ``(technique, confidence, evidence, explanation)``: the best pattern of every technique found, the first of
+    equals, with the words it matched."""
+    entries = []
+    for technique, weight, explanation, regexes in patterns:
+        hits = F.array(*[F.struct(_confidence(_count(low, r), weight).alias("confidence"), F.lit(-i).alias("order"), _first_match(low, r).alias("text"))
+                         for i, r in enumerate(regexes)])
+        best = F.array_max(F.filter(hits, lambda h: h["confidence"].isNotNull()))
+        entries.append(F.struct(F.lit(technique).alias("technique"), best["confidence"].alias("confidence"),
+                                F.concat(F.lit("Found pattern: "), best["text"]).alias("evidence"), F.lit(explanation).alias("explanation")))
+    return F.filter(F.array(*entries), lambda e: e["confidence"].isNotNull())
+
+
+def recommendation(is_propaganda: Column) -> Column:
+    # fixed values: the two sentences
+    return F.when(is_propaganda, "This content should be fact-checked against authoritative sources. Be cautious of emotional manipulation and verify all claims independently."
+                  ).otherwise("Standard fact-checking procedures apply.")
+
+
 def narrative_hits(low: Column, narratives=None, minimum: int = 2) -> Column:
     """Ids of narratives with at least ``minimum`` keywords in the text."""
     narratives = narratives or L.NARRATIVE_KEYWORDS

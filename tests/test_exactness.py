@@ -224,3 +224,43 @@ def test_search_finds_the_same_best_as_full_scoring(spark, k, direct_hits):
         got.setdefault(row["query_id"], []).append((row["doc_id"], row["raw_score"]))
     assert {q: [d for d, _ in v] for q, v in got.items()} == {q: [d for d, _ in v] for q, v in want.items()}
     assert all(abs(a[1] - b[1]) < 1e-8 for q in want for a, b in zip(got[q], want[q]))
+
+
+def test_rhetoric_patterns_equal_backtracking(spark):
+    """Counts and first words of every pattern against the plain regex, on texts full of first and second parts."""
+    import re
+
+    from claimspark import lexicons as L
+    from claimspark.operators import propaganda as P
+
+    rng = random.Random(6)
+    plain = [w for _, _, _, rs in L.TECHNIQUE_PATTERNS for r in rs for w in re.findall(r"[a-zäöüß%' ]{3,}", r.lower())]
+    texts = [" ".join(rng.choice(plain).strip() + rng.choice(["", "", ".", ",", "\n"]) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, low string").cache()
+    for technique, weight, explanation, regexes in L.TECHNIQUE_PATTERNS:
+        got = df.select("i", *[P._count(F.col("low"), r).alias(f"n{k}") for k, r in enumerate(regexes)], *[P._first_match(F.col("low"), r).alias(f"t{k}") for k, r in enumerate(regexes)]).collect()
+        for row in got:
+            for k, r in enumerate(regexes):
+                found = [m for m in re.finditer(r, texts[row["i"]], re.IGNORECASE)]
+                assert row[f"n{k}"] == len(found), (technique, k, texts[row["i"]])
+                assert row[f"t{k}"] == (found[0].group(1) if found else None), (technique, k, texts[row["i"]])
+    entry = df.select(F.explode(P.evidence(F.col("low"))).alias("e")).select("e.*")
+    best = df.select(F.explode(P.best_per_technique(F.col("low"))).alias("e")).select("e.*")
+    assert entry.select("technique", "confidence").exceptAll(best).count() == 0 == best.exceptAll(entry.select("technique", "confidence")).count()
+    assert entry.filter("evidence not like 'Found pattern: _%' or explanation is null").count() == 0
+    df.unpersist()
+
+
+def test_rhetoric_time_is_linear(spark):
+    import time
+
+    from claimspark.operators import propaganda as P
+
+    def seconds(n):
+        df = spark.createDataFrame([("either want " * n + "they sie genius studies show aber " * n,)], "low string")
+        df.select(P.best_per_technique(F.col("low"))).collect()
+        start = time.perf_counter()
+        df.select(P.best_per_technique(F.col("low"))).collect()
+        return time.perf_counter() - start
+
+    assert seconds(20_000) < 8 * seconds(5_000) + 1
