@@ -28,7 +28,7 @@ from claimspark.llm.common import text_slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PARTITION_SHIFT = 33  # sequence ids: partition number above, count within the partition below
-CACHE_WORDS = 1_000_000  # about 200 MB in a Python worker
+CACHE_WORDS = 200_000  # of each of two generations, together about 90 MB in a Python worker
 
 _encoders: dict[str, Callable[[str], bytes]] = {}  # of this worker process, which serves many tasks
 
@@ -39,8 +39,8 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
     """A function from a text to its ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of its
-    blank-separated pieces one after another. Pieces are kept in a dictionary that is emptied when full;
-    a worker process keeps it from task to task.
+    blank-separated pieces one after another. Pieces are kept in a dictionary; when it is full it becomes the older
+    one, from which pieces in use come back. A worker process keeps both from task to task.
     """
     if path in _encoders:
         return _encoders[path]
@@ -49,16 +49,23 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, bytes] = {"": b""}
+    older: dict[str, bytes] = {}
 
     def encode(text: str) -> bytes:
+        nonlocal known, older
         words = text.replace("\n", " ").split(" ")
         missing = [w for w in dict.fromkeys(words) if w not in known]
         if missing:
             if len(known) + len(missing) > cache_words:
-                known.clear()
-                known[""] = b""
+                known, older = {"": b""}, known
                 missing = [w for w in dict.fromkeys(words) if w]
-            for word, got in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            fresh = []
+            for word in missing:
+                if word in older:
+                    known[word] = older[word]
+                else:
+                    fresh.append(word)
+            for word, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
                 known[word] = np.array(got.ids, dtype="<u4").tobytes()
         return b"".join([known[w] for w in words])
 
