@@ -18,14 +18,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep; rows that share an id stay or go together, and stay if one of them passes."""
     kept = quality.quality_report(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; one that loses its last word goes."""
-    cut = linededup.dedup_lines(docs)
+    # the id keeps the filter above the work on lines, which would else run once more within the filter
+    cut = linededup.dedup_lines(docs).withColumn("_row", F.monotonically_increasing_id())
     cut = cut.filter((F.col("_n_removed") == 0) | F.col("text").rlike(WORD))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
