@@ -373,6 +373,13 @@ def j13(spark, d):
                        F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("j13_stored_index", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS raw_score, rank FROM ranked WHERE rank <= 5")
+def j13_stored(spark, d):
+    index = R.build_index(I.texts(spark, d), "doc_id", "text")
+    hits = R.bm25_search(I.table(spark, d, "benchmark"), index, k=5, min_score=0.0, query_id="item_id", query_text="text")
+    return hits.select(F.col("query_id").alias("item_id"), "doc_id", r6(F.col("raw_score"), "raw_score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("j13_bm25_search_pruned", f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS raw_score, rank FROM ranked WHERE rank <= 5")
 def j13_pruned(spark, d):
     hits = R.bm25_search(I.table(spark, d, "benchmark"), I.texts(spark, d), k=5, min_score=0.0, direct_hits=0,

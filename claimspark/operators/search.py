@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from claimspark import lexicons as L
 from claimspark.functions.tokens import expand_synonyms, stem, stemmed_tokens
-from claimspark.session import bounded, checkpoint
+from claimspark.session import bounded, bounded_rows, checkpoint
 
 MAX_BROADCAST_TERMS = 200_000
+MAX_LISTED_TERMS = 5_000  # query terms that become a filter of the scan
 MAX_DIRECT_HITS = 100_000_000
 
 
@@ -76,6 +77,35 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
     return queries.select(F.col(query_id).alias("query_id"), F.explode(terms).alias("term"))
 
 
+class Index(NamedTuple):
+    """A stored index that any number of searches share."""
+
+    weights: DataFrame  # doc_id, term, w, sorted by term, so a search reads the row groups of its own terms
+    terms: DataFrame  # term, df, most
+
+
+def build_index(docs: DataFrame, doc_id: str = "id", text: str = "claim", k1: float = L.BM25_K1, b: float = L.BM25_B) -> Index:
+    """Tokenise, weigh and store a corpus once; ``bm25_search(queries, index)`` reads it."""
+    index = checkpoint(indexed(docs, doc_id, text), "index")
+    stats = corpus_stats(index).first()  # one row by construction
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats["avgdl"] or 1.0))
+    posts = postings(index).select("doc_id", "term", (F.col("tf") * (k1 + 1) / norm).alias("part"))
+    terms = checkpoint(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+                       .select("term", "df", _idf(stats["n_docs"]).alias("idf"), (_idf(stats["n_docs"]) * F.col("most")).alias("most")), "terms")
+    weights = posts.join(terms, "term").select("doc_id", "term", (F.col("idf") * F.col("part")).alias("w"))
+    return Index(checkpoint(weights.repartitionByRange("term").sortWithinPartitions("term"), "weights"), terms.select("term", "df", "most"))
+
+
+def _prepare_stored(queries: DataFrame, index: Index, query_id: str = "query_id", query_text: str = "text", stem_synonyms: bool = False) -> _Scored:
+    wanted = query_terms(queries, query_id, query_text, stem_synonyms=stem_synonyms)
+    listed = bounded_rows(wanted.select("term").distinct(), MAX_LISTED_TERMS)
+    few = listed is not None or bounded(wanted, MAX_BROADCAST_TERMS)
+    small = F.broadcast if few else (lambda df: df)
+    own = (lambda df: df.filter(F.col("term").isin([r["term"] for r in listed]))) if listed is not None else (lambda df: df)
+    known = checkpoint(own(index.terms).join(small(wanted), "term").select("query_id", "term", "df", F.col("most").alias("top")), "query-terms")
+    return _Scored(own(index.weights), known, small)
+
+
 class _Scored(NamedTuple):
     """One retrieval run: weighted postings, query terms and the hint for small term tables."""
 
@@ -149,15 +179,16 @@ def _all_scores(run: _Scored) -> DataFrame:
     return _sums(run, run.wanted).select("query_id", "doc_id", F.round("s", 9).alias("score")).filter(F.col("score") > 0)
 
 
-def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float = 0.3, min_raw: float = 0.0,
+def bm25_search(queries: DataFrame, docs: DataFrame | Index, k: int = 5, min_score: float = 0.3, min_raw: float = 0.0,
                 direct_hits: int = MAX_DIRECT_HITS, **options) -> DataFrame:
     """Top-k documents per query by score relative to the query's best: ``query_id, doc_id, raw_score, score, rank``.
 
     The best hit always scores 1.0; ``min_raw`` filters on the raw score instead. Column options:
     ``query_id, query_text, doc_id, doc_text``; scoring options: ``k1, b, stem_synonyms``. Searches
-    that would join more than ``direct_hits`` postings leave out those that cannot matter.
+    that would join more than ``direct_hits`` postings leave out those that cannot matter. In place of documents a
+    stored index of ``build_index`` serves, which fixes ``k1``, ``b`` and the columns of the documents.
     """
-    run = _prepare(queries, docs, **options)
+    run = _prepare_stored(queries, docs, **options) if isinstance(docs, Index) else _prepare(queries, docs, **options)
     hits = run.wanted.agg(F.sum("df").alias("n")).first()["n"] or 0
     scores = _all_scores(run) if hits <= direct_hits else _best_scores(run, k)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -168,12 +199,13 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: floa
                       "rank").filter((F.col("score") >= min_score) & (F.col("raw_score") >= min_raw))
 
 
-def kb_verdicts(claims: DataFrame, kb: DataFrame, threshold: float = 0.85) -> DataFrame:
+def kb_verdicts(claims: DataFrame, kb: DataFrame, threshold: float = 0.85, min_raw: float = 0.0, index: Index | None = None) -> DataFrame:
     """Verdict of each claim's best knowledge-base hit; claims without one stay with nulls.
 
-    ``claims``: ``claim_id, text``; ``kb``: ``id, claim, is_true, explanation, claim_type``.
+    ``claims``: ``claim_id, text``; ``kb``: ``id, claim, is_true, explanation, claim_type``. The best hit always has the
+    relative score 1.0, so only ``min_raw`` rejects weak ones. ``index`` is a stored index of ``kb``.
     """
-    hits = bm25_search(claims, kb, k=1, min_score=0.5, query_id="claim_id", query_text="text").filter(
+    hits = bm25_search(claims, index or kb, k=1, min_score=0.5, min_raw=min_raw, query_id="claim_id", query_text="text").filter(
         F.col("score") > threshold)
     facts = kb.select(F.col("id").alias("doc_id"), "is_true", "explanation", "claim_type", F.col("claim").alias("matched_claim"))
     found = hits.join(facts, "doc_id").select(
