@@ -136,6 +136,55 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out)
 
 
-@query("op10_quality_divergence")
+_LANGS = {lang: words.split() for lang, words in quality.COMMON_WORDS.items()}
+_LISTS = " ".join(f"WHEN '{lang}' THEN {words!r}" for lang, words in _LANGS.items())
+_DEFAULT = repr(_LANGS[quality.DEFAULT_LANG])
+_CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "punctuation": r"[.,;:!?''\"()\-]+", "symbol": r"[#*$%&|<>]+"}
+
+
+def _quality_sql() -> str:
+    rests, hist = [], []
+    for i, pattern in enumerate(_CLASSES.values()):
+        rests.append(f"c{i + 1} AS (SELECT *, regexp_replace(r{i}, '{pattern}', '', 'g') AS r{i + 1} FROM c{i})")
+        hist.append(f"length(r{i}) - length(r{i + 1})")
+    n = len(_CLASSES)
+    return f"""
+WITH c0 AS (
+  SELECT doc_id, CASE WHEN lang IN {tuple(_LANGS)} THEN lang ELSE '' END AS ref, string_split(coalesce(text, ''), chr(10)) AS lines,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         regexp_replace(coalesce(text, ''), '[a-zß-öø-ÿ\\x20\\x09-\\x0D]+', '', 'g') AS r0 FROM documents
+), {', '.join(rests)},
+f AS MATERIALIZED (
+  SELECT doc_id, ref, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {hist[3]} AS n_symbols,
+         len(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
+         [length(array_to_string(ws, '')) - length(r0), {', '.join(hist)}, length(r{n})] AS char_hist,
+         list_transform(CASE ref {_LISTS} ELSE {_DEFAULT} END, lambda w: len(list_filter(ws, lambda x: x = w))) AS hits FROM c{n}
+), g AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM (
+    SELECT doc_id, pos, array_to_string(ws[pos:pos + 4], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS pos FROM f WHERE len(ws) >= 5))
+), r AS (
+  SELECT doc_id, sum(least(5, coalesce(pos - before, 5))) AS n_repeat_words FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM g WHERE n > 1) GROUP BY 1
+), h AS (
+  SELECT doc_id, ref, 'char' AS kind, unnest(range(1, len(char_hist) + 1)) AS pos, unnest(char_hist) AS v FROM f
+  UNION ALL SELECT doc_id, ref, 'word', unnest(range(1, len(hits) + 2)), unnest(list_append(hits, n_words - list_sum(hits))) FROM f
+), sums AS (
+  SELECT ref, kind, pos, sum(v) AS v FROM h WHERE ref <> '' GROUP BY ALL
+  UNION ALL SELECT '', kind, pos, sum(v) FROM h WHERE kind = 'char' OR ref IN ('', '{quality.DEFAULT_LANG}') GROUP BY ALL
+), p AS (
+  SELECT h.doc_id, h.kind, CASE WHEN sum(h.v) OVER d > 0 THEN h.v / sum(h.v) OVER d ELSE 0 END AS x, CASE WHEN sum(s.v) OVER d > 0 THEN s.v / sum(s.v) OVER d ELSE 0 END AS y
+  FROM h JOIN sums s USING (ref, kind, pos) WINDOW d AS (PARTITION BY h.doc_id, h.kind)
+), j AS (
+  SELECT doc_id, kind, round(sqrt(greatest(0, sum(CASE WHEN x > 0 THEN 0.5 * x * log2(x / ((x + y) / 2)) ELSE 0 END + CASE WHEN y > 0 THEN 0.5 * y * log2(y / ((x + y) / 2)) ELSE 0 END))), 9) AS dist FROM p GROUP BY ALL
+), t AS (
+  SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words, jc.dist AS char_distance, jw.dist AS word_distance
+  FROM f LEFT JOIN r ON r.doc_id = f.doc_id JOIN j jc ON jc.doc_id = f.doc_id AND jc.kind = 'char' JOIN j jw ON jw.doc_id = f.doc_id AND jw.kind = 'word'
+), b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM t)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ((word_chars >= {quality.MIN_CHARS} AND char_distance > {quality.MAX_CHAR_DISTANCE}) OR (n_words >= {quality.MIN_WORDS} AND word_distance > {quality.MAX_WORD_DISTANCE})) AS kept,
+       char_distance, word_distance FROM b
+"""
+
+
+@query("op10_quality_divergence", _quality_sql())
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
