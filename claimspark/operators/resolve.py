@@ -168,8 +168,8 @@ def verify_relationships(
     """
     if "source_label" in fact_edges.columns and not any_label:
         fact_edges = fact_edges.filter(F.col("source_label") == "Fact")
-    known = fact_edges.groupBy(
-        F.col("source_name").alias("source_fact"), "relation_type", F.lower("target_name").alias("_target")
+    known = fact_edges.filter(F.col("source_name").isNotNull()).groupBy(
+        F.col("source_name").alias("_source"), "relation_type", F.lower("target_name").alias("_target")
     ).agg(F.count(F.lit(1)).alias("matching_facts"))
     first = first_matches(matches)
     end = lambda side: first.select(
@@ -180,7 +180,10 @@ def verify_relationships(
         trimmed.join(end("source"), ["claim_id", "source_name"], "left")
         .join(end("target"), ["claim_id", "target_name"], "left")
         .withColumn("_target", F.lower("target_fact"))
-        .join(known, ["source_fact", "relation_type", "_target"], "left")
+        # an unresolved end gets a key of its own, so that such rows do not gather under one null key
+        .withColumn("_source", F.when(F.col("target_fact").isNotNull() & F.col("source_fact").isNotNull(), F.col("source_fact")).otherwise(
+            F.concat_ws("\0", F.lit(""), "claim_id", F.col("ordinal").cast("string"))))
+        .join(known, ["_source", "relation_type", "_target"], "left")
     )
     resolved = F.col("source_fact").isNotNull() & F.col("target_fact").isNotNull()
     verified = resolved & F.col("matching_facts").isNotNull()
