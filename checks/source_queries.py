@@ -367,12 +367,12 @@ def x2(spark, d):
     return _drain(J.stream_dedup(claims, "60 days")).select("text_hash")
 
 
-@query("x3_stream_progress", "SELECT date_trunc('minute', ts) AS minute, count(*) FILTER (status <> 'queued') AS processed, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed FROM items GROUP BY 1", ("items",))
+@query("x3_stream_progress", "SELECT date_trunc('minute', ts) AS minute, count(*) FILTER (status <> 'queued') AS processed, count(*) FILTER (status = 'success') AS successful, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status <> 'queued')::DOUBLE AS rate_per_minute FROM items GROUP BY 1", ("items",))
 def x3(spark, d):
     items = I.batch_items(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     rows = _drain(J.stream_progress(_source(spark, _landed(spark, items, "items", "ts")), watermark="60 days"), "update")
-    last = rows.groupBy("minute").agg(F.max_by(F.struct("processed", "successful", "failed"), "epoch").alias("r"))
-    return last.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "r.processed", "r.successful", "r.failed")
+    last = rows.groupBy("minute").agg(F.max_by(F.struct("processed", "successful", "failed", "rate_per_minute"), "epoch").alias("r"))
+    return last.select(F.col("minute").cast("timestamp_ntz").alias("minute"), "r.processed", "r.successful", "r.failed", "r.rate_per_minute")
 
 
 @query("x4_stream_rate", """SELECT user_id, w AS window_start, count(*) AS requests FROM (SELECT user_id, unnest(generate_series(to_timestamp(floor(epoch(ts) / 600) * 600 - 3000)::TIMESTAMP, to_timestamp(floor(epoch(ts) / 600) * 600)::TIMESTAMP, INTERVAL 10 MINUTE)) AS w FROM events) GROUP BY 1, 2""")

@@ -34,12 +34,13 @@ def stream_dedup(claims: DataFrame, ttl: str = "24 hours", text: str = "text", t
     return hashed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 
-def stream_progress(items: DataFrame, ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
-    """Per minute: processed, successful and failed items."""
+def stream_progress(items: DataFrame, ts: str = "ts", watermark: str = "10 minutes", seconds: int = 60) -> DataFrame:
+    """Per window of ``seconds``: processed, successful and failed items, and the processed ones per minute."""
     s = F.col("status")
-    return items.withWatermark(ts, watermark).groupBy(F.window(ts, "1 minute").alias("w")).agg(
+    return items.withWatermark(ts, watermark).groupBy(F.window(ts, f"{seconds} seconds").alias("w")).agg(
         F.count_if(s.isin("success", "failed", "skipped")).alias("processed"), F.count_if(s == "success").alias("successful"),
-        F.count_if(s == "failed").alias("failed")).select(F.col("w.start").alias("minute"), "processed", "successful", "failed")
+        F.count_if(s == "failed").alias("failed")).select(F.col("w.start").alias("minute"), "processed", "successful", "failed",
+                                                            (F.col("processed") * 60.0 / seconds).alias("rate_per_minute"))
 
 
 def stream_rate(events: DataFrame, key: str, ts: str = "ts", seconds: int = 60, slide: int = 10, watermark: str = "10 minutes") -> DataFrame:
