@@ -9,8 +9,8 @@ linear-time scan of Ruzzo and Tompa gives all maximal segments. By extreme-value
 segments of score S or more by chance; lambda solves sum p exp(lambda s) = 1 over the tokens of the corpus, K is
 fitted to the best segments of those documents. Segments with an expectation of at most ``MAX_CHANCE`` are passages.
 
-Score. A logistic curve over the normalised best score and the sum over passages, fitted to at most
-``FIT_ROWS`` labelled rows, chosen by a hash of the id. Rows without text score like texts without evidence.
+Score. A logistic curve over the best score normalised by extreme-value theory and the sum, number and density of the strong
+segments, fitted to at most ``FIT_ROWS`` labelled rows, chosen by a hash of the id. Rows without text score like texts without evidence.
 
 Null labels and labels of unknown ids are ignored; repeated labels count once each. Null texts are empty. With no label of
 one kind the score is the share of toxic labels. Every row of the documents gives one row; empty tables give none.
@@ -33,10 +33,11 @@ from claimspark.llm.common import text_slices
 from claimspark.session import bounded, checkpoint
 
 BUCKETS = 1 << 18
-PRIOR_TOKENS = 5_000.0
+PRIOR_TOKENS = 20_000.0
 MIN_Z = 3.0
 DRIFT = 0.1
 MAX_CHANCE = 0.05
+STRONG = 4.0  # score of the segments that are summed over a document
 FIT_ROWS = 200_000
 BROADCAST_LABELS = 1_000_000  # rows of id and label, 16 MB
 CACHE_WORDS = 500_000
@@ -132,18 +133,30 @@ class Model:
         return [(right - left, first, end) for left, right, first, end in stack]
 
 
-SEGMENTS = "doc_id long, n_tokens long, best double, total double, passages array<struct<first:long,end:long,score:double>>"
+SEGMENTS = ("doc_id long, n_tokens long, best double, strong double, n_strong long, score double, "
+            "passages array<struct<first:long,end:long,score:double>>")
 
 
-def passage_features(docs: DataFrame, model: Model, buckets: int, max_chance: float) -> DataFrame:
-    """Per row: number of tokens, best segment score, and the passages that chance does not explain."""
+def curve(rate: float, n: np.ndarray, best: np.ndarray, strong: np.ndarray, n_strong: np.ndarray) -> np.ndarray:
+    """What the logistic curve sees of a document."""
+    tokens = np.maximum(n, 1)
+    return np.column_stack([rate * best - np.log(tokens), np.minimum(best, 50.0), best > 0, np.minimum(strong, 100.0), np.log1p(n_strong), strong / tokens, np.log(tokens)])
+
+
+def logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.column_stack([np.ones(len(x)), x]) @ weights, -30, 30)))
+
+
+def passage_features(docs: DataFrame, model: Model, buckets: int, max_chance: float, weights: np.ndarray | None = None, default: float = 0.0) -> DataFrame:
+    """Per row: number of tokens, best segment score, sum and number of strong segments, the calibrated score (``default``
+    without weights), and the passages that chance does not explain."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in text_slices(batches):
-            n, best, total, passages = [], [], [], []
+            n, best, strong, n_strong, passages = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = token_buckets(text, buckets)
                 found = m.segments(tokens) if len(tokens) else []
@@ -151,10 +164,13 @@ def passage_features(docs: DataFrame, model: Model, buckets: int, max_chance: fl
                 kept = [x for x in found if x[0] >= bound]
                 n.append(len(tokens))
                 best.append(max((x[0] for x in found), default=0.0))
-                total.append(sum(x[0] for x in kept))
+                strong.append(sum(x[0] for x in found if x[0] >= STRONG))
+                n_strong.append(sum(x[0] >= STRONG for x in found))
                 passages.append([{"first": f, "end": e, "score": round(x, 6)} for x, f, e in kept])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64()), pa.array(passages, passage)],
-                                             names=["doc_id", "n_tokens", "best", "total", "passages"])
+            score = np.full(len(n), default) if weights is None else logistic(curve(m.rate, *(np.array(c, dtype=float) for c in (n, best, strong, n_strong))), weights)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(strong, pa.float64()), pa.array(n_strong, pa.int64()), pa.array(np.round(score, 9)), pa.array(passages, passage)],
+                names=["doc_id", "n_tokens", "best", "strong", "n_strong", "score", "passages"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SEGMENTS)
 
@@ -192,24 +208,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: F.Column | Non
 
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     small = F.broadcast(sample) if bounded(sample, BROADCAST_LABELS) else sample
-    fitted = passage_features(d.join(small.select("doc_id"), "doc_id", "left_semi"), model, buckets, max_chance).select("doc_id", "n_tokens", "best")
-    seen = fitted.join(small, "doc_id").select("n_tokens", "best", "toxic").toArrow()  # at most ``fit_rows`` rows unless ids repeat
-    n, best, toxic = (seen.column(i).to_numpy().astype(float) for i in range(3))
+    fitted = passage_features(d.join(small.select("doc_id"), "doc_id", "left_semi"), model, buckets, max_chance).dropDuplicates(["doc_id"])
+    seen = fitted.join(small, "doc_id").select("n_tokens", "best", "strong", "n_strong", "toxic").toArrow()  # at most ``fit_rows`` rows
+    n, best, strong, n_strong, toxic = (seen.column(i).to_numpy().astype(float) for i in range(5))
     normal = (toxic == 0) & (n > 0) & (best > 0)
     if normal.any():
         # the mean of a Gumbel variable is its mode plus Euler's constant
         model.log_k = float(np.mean(model.rate * best[normal] - np.log(n[normal])) - 0.5772156649)
-    curve = lambda n, best: np.column_stack([model.rate * best - np.log(np.maximum(n, 1)), np.minimum(best, 50.0), best > 0])
-    rate = float(toxic.mean()) if len(toxic) else 0.0
-    weights = logistic_fit(curve(n, best), toxic) if 0 < rate < 1 else None
-
-    f = checkpoint(passage_features(d, model, buckets, max_chance), "toxicity")
-    if weights is None:
-        score = F.lit(rate)
-    else:
-        w = [float(x) for x in weights]
-        line = (F.lit(w[0]) + w[1] * (model.rate * F.col("best") - F.log(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")))
-                + w[2] * F.least(F.col("best"), F.lit(50.0)) + w[3] * (F.col("best") > 0).cast("double"))
-        score = 1 / (1 + F.exp(-F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))))
-    f = f.withColumn("score", F.round(score, 9))
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    weights = logistic_fit(curve(model.rate, n, best, strong, n_strong), toxic) if 0 < share < 1 else None
+    f = checkpoint(passage_features(d, model, buckets, max_chance, weights, share), "toxicity")
     return f.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "best", "passages")
