@@ -46,8 +46,11 @@ def line_sites(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND)
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, id_col: str = "doc_id", text_col: str = "text",
-                site_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` with boilerplate cut out of ``text_col``, and ``_n_lines``, ``_n_removed``."""
+                site_col: str = "source", drop_emptied: bool = False) -> DataFrame:
+    """The rows of ``docs`` with boilerplate cut out of ``text_col``, and ``_n_lines``, ``_n_removed``.
+
+    With ``drop_emptied`` rows go whose last word went.
+    """
     lines = checkpoint(
         docs.select(F.struct(F.col(id_col).alias("id")).alias("doc"), F.coalesce(F.col(site_col).cast("string"), F.lit("\0")).alias("site"),
                     F.explode(F.array_distinct(_digests(F.col(text_col)))).alias("line")).filter("line IS NOT NULL"), "lines")
@@ -65,5 +68,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND,
     d = d.withColumn("left", F.when(F.col("_common").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
     text = F.when(F.col("_common").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
     count = lambda n: F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long")
-    return d.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns],
-                    count(F.size("lines")).alias("_n_lines"), count(F.size("lines") - F.size("left")).alias("_n_removed"))
+    d = d.select("row", F.struct(text.alias("text"), count(F.size("lines")).alias("lines"), count(F.size("lines") - F.size("left")).alias("removed")).alias("out"))
+    if drop_emptied:
+        # as a generator, since a filter would be pushed below the work on lines and repeat it
+        d = d.select("row", F.explode(F.filter(F.array("out"), lambda o: (o["removed"] == 0) | o["text"].rlike(WORD))).alias("out"))
+    return d.select(*[F.col("out.text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns],
+                    F.col("out.lines").alias("_n_lines"), F.col("out.removed").alias("_n_removed"))

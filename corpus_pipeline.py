@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm import decontam, linededup, neardup, packing, quality
-from claimspark.llm.common import WORD, documents
+from claimspark.llm.common import documents
 from claimspark.llm.queries import tokenizer_path
 from claimspark.session import shared_scratch
 
@@ -25,9 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; one that loses its last word goes."""
-    # the id keeps the filter above the work on lines, which would else run once more within the filter
-    cut = linededup.dedup_lines(docs).withColumn("_row", F.monotonically_increasing_id())
-    cut = cut.filter((F.col("_n_removed") == 0) | F.col("text").rlike(WORD))
+    cut = linededup.dedup_lines(docs, drop_emptied=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
