@@ -61,7 +61,7 @@ def test_gnd_shapes(spark):
     assert set(rows) == {"1", "2", "3"}
     assert rows["1"]["name_variants"] == ["x", "z"] and str(rows["1"]["birth_date"]) == "1769-08-01" and rows["1"]["description"] is None
     assert rows["2"]["name"] == "B" and rows["2"]["birth_date"] is None and rows["2"]["birth_raw"] == "1800-13-01"
-    assert rows["3"]["description"] == "p | " + "b" * 200 and rows["3"]["entity_type"] == "Organization"
+    assert rows["3"]["description"] == "p | " + "b" * 300 and rows["3"]["entity_type"] == "Organization"
     assert [r["ordinal"] for r in P.quarantine(df).collect()] == [3]
 
 
