@@ -15,6 +15,7 @@ once for every row. Null ids stay null. Empty tables give no rows. Extra columns
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -65,8 +66,8 @@ def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], b
                     known[word] = older[word]
                 else:
                     fresh.append(word)
-            for word, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[word] = np.array(got.ids, dtype="<u4").tobytes()
+            for word, ids in zip(fresh, [got.ids for got in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]):
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, words))
 
     _encoders[path] = encode
