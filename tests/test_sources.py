@@ -78,7 +78,7 @@ def test_other_authority_shapes(spark):
 def test_records_to_nodes_and_urls(spark):
     df = P.ingest_gnd(raw(spark, {"gndIdentifier": "1", "preferredName": "A", "variantName": list("abcdefg"), "dateOfBirth": "1800"}, entity_type="Event"))
     node = P.records_to_nodes(P.source_url(df)).first()
-    assert node["aliases"] == list("abcde") and str(node["start_date"]) == "1800-01-01" and node["birth_date"] is None and node["confidence"] == 1.0
+    assert node["aliases"] == list("abcdefg") and str(node["start_date"]) == "1800-01-01" and node["birth_date"] is None and node["confidence"] == 1.0
     assert P.source_url(df).first()["source_url"] == "https://d-nb.info/gnd/1"
 
 
