@@ -12,13 +12,14 @@ that shares a prefix; its depth adapts, as a prefix with more than ``MAX_REGION`
    signatures. Of the pairs that seem linked only those that join two components within the region, best first, are
    confirmed and contracted: fewer pairs than members.
 3. The same comparison again, now of every pair in different components that could reach the bound. Each pair is met
-   in one tree only, the first in which it shares a region, and a family of thousands of copies has no
+   in one tree only, the first in which both have the same final region, and a family of thousands of copies has no
    pairs left within a component.
-A region that stays too large at the greatest depth holds sets that agree in all of its minima; it is cut into blocks that
-each contain the same hub.
+A region that stays too large at the greatest depth is cut into blocks. In passes 1 and 2, which only save work, each block
+contains the same hub; in pass 3 every block meets every other, but for those of the region's largest component
+among themselves, so every pair of the region is met and no task holds more than two blocks.
 
 A pair at the bound shares a region of the least depth in some tree with probability 1 - 5e-11 (32 trees, 4 minima,
-similarity 0.85); the estimate from ``SIGNATURE`` minima stays above its cut with 1 - 1e-6. Shingles are compared
+similarity 0.85), and 1 - 3e-7 where all regions have the greatest depth; the estimate from ``SIGNATURE`` minima stays above its cut with 1 - 1e-6. Shingles are compared
 by 64-bit hashes.
 
 Null and empty texts are linked with nothing. Null ids take no part: component null, kept. Rows are judged by their
@@ -39,7 +40,8 @@ from claimspark.llm.components import connected_components
 from claimspark.llm.shingles import MinHash, groups, mix, set_digest, shingle_set
 from claimspark.session import checkpoint
 
-TREES, DEPTHS = 32, (4, 6, 8, 12, 16)
+TREES, DEPTHS = 32, (4, 6)  # at most three depths: a row's depths in all trees are one number of two bits a tree
+ORDER_DEPTH = 16  # minima by which pass 1 sorts a region
 LEADING = TREES * DEPTHS[0]  # minima kept whole, for the orders; of the others one byte is kept
 SIGNATURE = 768
 NEIGHBOUR_TREES = 4
@@ -118,26 +120,55 @@ def _region_keys(reps: DataFrame, depth: int, trees: bool) -> DataFrame:
     return reps.mapInArrow(run, "rep long, tree int, region long")
 
 
-def forest_regions(reps: DataFrame, max_region: int = MAX_REGION) -> DataFrame:
-    """(rep, tree, region) of all regions with at least two members, each at the depth its size asks for."""
+def forest_regions(reps: DataFrame, max_region: int = MAX_REGION) -> tuple[DataFrame, DataFrame]:
+    """(rep, tree, level, region, n) of all regions with at least two members, each at the depth its size asks for; and the
+    ``levels`` of each rep, two bits a tree: 0 without a region, else one more than the region's level."""
     parts, rows = [], checkpoint(_region_keys(reps.select("rep", "minima"), DEPTHS[0], False), "forest")
     for level, depth in enumerate(DEPTHS):
-        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-        sized = checkpoint(rows.join(sizes, "region"), "regions")
-        parts.append(sized.filter(F.col("n") <= max_region).select("rep", "tree", "region"))
+        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sized = checkpoint(rows.join(sizes, "region").select("rep", "tree", F.lit(level).alias("level"), "region", "n"), "regions")
+        if depth == DEPTHS[-1]:
+            parts.append(sized)
+            break
+        parts.append(sized.filter(F.col("n") <= max_region))
         large = sized.filter(F.col("n") > max_region)
         if large.isEmpty():
             break
-        if depth != DEPTHS[-1]:
-            rows = checkpoint(_region_keys(large.select("rep", "tree").join(reps.select("rep", "minima"), "rep"), DEPTHS[level + 1], True), "forest")
-        else:
-            blocks = F.ceil(F.col("n") / max_region).cast("int")
-            block = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
-            parts.append(large.withColumn("block", F.explode(block)).select("rep", "tree", F.xxhash64("region", "block").alias("region")))
+        rows = checkpoint(_region_keys(large.select("rep", "tree").join(reps.select("rep", "minima"), "rep"), DEPTHS[level + 1], True), "forest")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    out = checkpoint(out, "forest-regions")
+    levels = out.groupBy("rep").agg(F.expr("bit_or(shiftleft(cast(level + 1 AS bigint), 2 * tree))").alias("levels"))
+    return out, checkpoint(levels, "levels")
+
+
+def hub_blocks(regions: DataFrame, max_region: int) -> DataFrame:
+    """The regions with those over ``max_region`` cut into blocks that share one member."""
+    large = regions.filter(F.col("n") > max_region)
+    hubs = large.groupBy("region").agg(F.min("rep").alias("hub"))
+    blocks = F.ceil(F.col("n") / max_region).cast("int")
+    block = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
+    cut = large.join(hubs, "region").withColumn("block", F.explode(block)).withColumn("region", F.xxhash64("region", "block")).drop("block", "hub")
+    return regions.filter(F.col("n") <= max_region).unionByName(cut)
+
+
+def met_blocks(placed: DataFrame, max_region: int) -> DataFrame:
+    """``placed`` rows (with component) and ``block``; regions over ``max_region`` as one group for each two blocks of which not both
+    lie in the region's largest component. Within a group only rows of different ``block`` are to be compared."""
+    large = placed.filter(F.col("n") > max_region)
+    counts = large.groupBy("region", "component").agg(F.count(F.lit(1)).alias("size"))
+    half = max(1, max_region // 2)
+    blocks = lambda size: F.ceil(size / half).cast("int")
+    plan = counts.groupBy("region").agg(F.max(F.struct("size", "component")).alias("top")) \
+        .select("region", F.col("top.component").alias("largest"), F.col("top.size").alias("inside"))
+    d = large.join(plan, "region").withColumn("a", blocks(F.col("n") - F.col("inside"))).withColumn("b", blocks(F.col("inside")))
+    inner = F.col("component") == F.col("largest")
+    d = d.filter("a > 0").withColumn("own", F.when(inner, F.col("a") + F.pmod(F.xxhash64("rep"), F.col("b"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("a"))).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("a")).otherwise(F.col("a") + F.col("b")) - 1)))
+    cut = d.select("rep", "tree", "component", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"),
+                   F.when(F.col("own") == F.col("other"), F.col("rep")).otherwise(F.col("own").cast("long")).alias("block"))
+    return placed.filter(F.col("n") <= max_region).select("rep", "tree", "component", "region", F.col("rep").alias("block")).unionByName(cut)
 
 
 def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -169,7 +200,7 @@ def neighbour_pairs(regions: DataFrame, reps: DataFrame, bound: float) -> DataFr
             rep, region = table.column("rep").to_numpy(), table.column("region").to_numpy()
             tree = table.column("tree").to_numpy().astype(np.int64)
             minima = _matrix(table.column("minima"), "<u4", LEADING)
-            label = _label(minima, tree, DEPTHS[-1])
+            label = _label(minima, tree, ORDER_DEPTH)
             order = np.lexsort((rep, *label.T[::-1], region))
             a, b = order[:-1], order[1:]
             good = (region[a] == region[b]) & (rep[a] != rep[b])
@@ -200,40 +231,52 @@ def spanning(x: np.ndarray, y: np.ndarray, same: np.ndarray, component: dict[int
     return joins
 
 
-def region_pairs(members: DataFrame, reps: DataFrame, bound: float, forest: bool) -> DataFrame:
-    """Pairs of one region in different components that can reach the bound, each from its first common tree.
+def common_trees(equal: np.ndarray, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """In which trees rows have the same final region, from equality of minima and the ``levels`` of one row and of the others."""
+    shift = 2 * np.arange(TREES, dtype=np.uint64)
+    own, other = (mine.view(np.uint64) >> shift) & np.uint64(3), (others.view(np.uint64)[:, None] >> shift) & np.uint64(3)
+    common = np.zeros((len(equal), TREES), dtype=bool)
+    for level, depth in enumerate(DEPTHS):
+        trees = np.flatnonzero(own == level + 1)
+        if len(trees):
+            at = (trees[:, None] * DEPTHS[0] + np.arange(depth)[None, :]) % LEADING
+            common[:, trees] = (other[:, trees] == level + 1) & equal[:, at].all(axis=2)
+    return common
+
+
+def region_pairs(members: DataFrame, reps: DataFrame, levels: DataFrame, bound: float, forest: bool) -> DataFrame:
+    """Pairs of one region in different components and blocks that can reach the bound, each from its first common tree.
 
     With ``forest`` those whose estimate reaches it, and of them only as many as join components.
     """
     cut = bound if forest else bound - SLACK * (bound * (1 - bound) / SIGNATURE) ** 0.5
     first_cut = bound - SLACK * 1.3 * (bound * (1 - bound) / LEADING) ** 0.5
 
-    def pairs(rep, component, tree, minima, rest) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def pairs(rep, component, block, levels, tree, minima, rest) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         values, sizes = np.unique(component, return_counts=True)
         largest = values[np.argmax(sizes)]
         order = np.argsort(component == largest, kind="stable")  # the largest component last
-        rep, component, minima, rest = rep[order], component[order], minima[order], rest[order]
-        prefixes = minima.reshape(len(rep), TREES, DEPTHS[0])
+        rep, component, block, levels, minima, rest = (c[order] for c in (rep, component, block, levels, minima, rest))
         for i in range(int((component != largest).sum())):
-            j = i + 1 + np.flatnonzero(component[i + 1:] != component[i])
+            j = i + 1 + np.flatnonzero((component[i + 1:] != component[i]) & (block[i + 1:] != block[i]))
             j = j[(minima[j] == minima[i]).mean(axis=1) >= first_cut]
             if not len(j):
                 continue
             same = (minima[j] == minima[i]).sum(axis=1) + (rest[j] == rest[i]).sum(axis=1)
             j, same = j[same >= cut * SIGNATURE], same[same >= cut * SIGNATURE]
-            mine = (prefixes[j] == prefixes[i]).all(axis=2).argmax(axis=1) == tree
+            mine = common_trees(minima[j] == minima[i], levels[i:i + 1], levels[j]).argmax(axis=1) == tree
             if mine.any():
                 yield np.full(int(mine.sum()), rep[i]), rep[j[mine]], same[mine]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_region(batches):
             region = table.column("region").to_numpy()
-            rep, component, tree = (table.column(c).to_numpy() for c in ("rep", "component", "tree"))
+            rep, component, block, levels, tree = (table.column(c).to_numpy() for c in ("rep", "component", "block", "levels", "tree"))
             minima = _matrix(table.column("minima"), "<u4", LEADING)
             rest = _matrix(table.column("rest"), "u1", SIGNATURE - LEADING)
             for start, end in groups(region):
                 part = slice(start, end)
-                found = list(pairs(rep[part], component[part], int(tree[start]), minima[part], rest[part]))
+                found = list(pairs(rep[part], component[part], block[part], levels[part], int(tree[start]), minima[part], rest[part]))
                 if found:
                     x, y, same = (np.concatenate(column) for column in zip(*found))
                     if forest:
@@ -241,7 +284,7 @@ def region_pairs(members: DataFrame, reps: DataFrame, bound: float, forest: bool
                         x, y = x[joins], y[joins]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    rows = members.join(reps.select("rep", "minima", "rest"), "rep")
+    rows = members.join(reps.select("rep", "minima", "rest"), "rep").join(levels, "rep")
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -273,16 +316,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, max_region:
     rows = checkpoint(features(docs, k, id_col, text_col), "features")
     full = rows.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = checkpoint(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima"), F.first("rest").alias("rest")), "reps")
-    regions = checkpoint(forest_regions(reps, max_region), "forest-regions")
+    regions, levels = forest_regions(reps, max_region)
+    blocked = hub_blocks(regions, max_region)
 
-    first = checkpoint(neighbour_pairs(regions, reps, bound), "neighbours")
+    first = checkpoint(neighbour_pairs(blocked, reps, bound), "neighbours")
     links = checkpoint(confirmed(first, docs, reps, percent, k, id_col, text_col), "links")
     parts = connected_components(links)
 
     for forest in (True, False):
-        placed = regions.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = (blocked if forest else regions).join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("region")
-        pairs = checkpoint(region_pairs(placed.join(mixed, "region", "left_semi"), reps, bound, forest), "region-pairs")
+        placed = placed.join(mixed, "region", "left_semi")
+        members = placed.withColumn("block", F.col("rep")) if forest else met_blocks(placed, max_region)
+        pairs = checkpoint(region_pairs(members, reps, levels, bound, forest), "region-pairs")
         links = links.unionByName(checkpoint(confirmed(pairs, docs, reps, percent, k, id_col, text_col), "links"))
         parts = connected_components(links)
 

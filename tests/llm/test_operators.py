@@ -78,6 +78,33 @@ def test_near_duplicates_of_a_family(spark):
             assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want)
 
 
+def test_near_duplicates_in_split_regions(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    data = []
+    for i in range(260):  # pairs near the bound, of which few others are linked
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 6)):
+            w[at] = f"x{i}-{at}"
+        data.append((i, " ".join(w), "en", "s", 1))
+    df = spark.createDataFrame(data, DOCS)
+    want = brute.components([(r[0], r[1]) for r in data])
+    assert len({c for _, c in want.values()}) > 20
+    for limit in (40, 12):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, max_region=limit).collect()}
+        assert got == want
+
+
+def test_blocks_meet_every_pair_once(spark):
+    rows = [(i, 3, 77, 50, 0 if i < 30 else i) for i in range(50)]
+    placed = spark.createDataFrame(rows, "rep long, tree int, region long, n long, component long")
+    groups = collections.defaultdict(list)
+    for r in neardup.met_blocks(placed, 10).collect():
+        groups[r["region"]].append((r["rep"], r["component"], r["block"]))
+    met = collections.Counter((min(a[0], b[0]), max(a[0], b[0])) for g in groups.values() for i, a in enumerate(g) for b in g[:i] if a[1] != b[1] and a[2] != b[2])
+    assert met == {(a, b): 1 for b in range(30, 50) for a in range(b)} and max(map(len, groups.values())) < 30
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = [tuple(r) for r in neardup.near_duplicates(odd).orderBy("doc_id", "n_shingles").collect()]
     assert got == [(None, 3, None, True), (1, 2, 1, True), (1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True),
