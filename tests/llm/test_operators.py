@@ -313,6 +313,27 @@ def test_chains_equal_the_quadratic_recurrence():
         assert math.isclose(total, max(score)) and sorted(i for c in got for i in c) == list(range(n))
 
 
+def test_chains_take_the_best_predecessor_in_reach():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n = 40
+        x, y = rng.integers(0, 150, n), rng.integers(0, 150, n)
+        size = np.where(np.arange(n) % 13 == 0, 60, 5)
+        runs = np.column_stack([x, x + size, y, y + size, np.arange(n), np.arange(n)])
+        got = passages.chains_of(runs, 0.2, 32)
+        score = [0.0] * n
+        for i in sorted(range(n), key=lambda i: x[i]):
+            gains = [score[j] - 0.2 * (x[i] - x[j] - size[j] + y[i] - y[j] - size[j]) for j in range(n)
+                     if 0 <= x[i] - x[j] - size[j] <= 32 and 0 <= y[i] - y[j] - size[j] <= 32]
+            score[i] = size[i] + max([0.0, *gains])
+        total = sum(size[a] for a in got[0]) - sum(0.2 * (x[b] - x[a] - size[a] + y[b] - y[a] - size[a]) for a, b in zip(got[0], got[0][1:]))
+        assert math.isclose(total, max(score)) and sorted(i for c in got for i in c) == list(range(n))
+    # a long passage, then a fuzzy one of five runs a hundred words later
+    starts = [0, *range(400, 465, 13)][:6]
+    runs = np.array([(s, s + (300 if s == 0 else 12), s, s + (300 if s == 0 else 12), i, i) for i, s in enumerate(starts)])
+    assert sorted(passages.chains_of(runs, 0.2, 32)) == [[0], [1, 2, 3, 4, 5]]
+
+
 # 8 packing
 
 
