@@ -14,10 +14,8 @@ once for every row. Null ids stay null. Empty tables give no rows. Extra columns
 
 from __future__ import annotations
 
-import os
-import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,54 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import text_slices
+from claimspark.llm.tokenids import text_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PARTITION_SHIFT = 33  # sequence ids: partition number above, count within the partition below
-CACHE_WORDS = 300_000  # of each of two generations, together about 130 MB in a Python worker
-
-_encoders: dict[str, Callable[[str], bytes]] = {}  # of this worker process, which serves many tasks
 
 Piece = tuple  # (doc_id, start, length, crc, doc_tokens)
 
 
-def word_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian 32-bit bytes.
-
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of its
-    blank-separated pieces one after another. Pieces are kept in a dictionary; when it is full it becomes the older
-    one, from which pieces in use come back. A worker process keeps both from task to task.
-    """
-    if path in _encoders:
-        return _encoders[path]
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {"": b""}
-    older: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        nonlocal known, older
-        words = text.replace("\n", " ").split(" ")
-        missing = set(words).difference(known)
-        if missing:
-            if len(known) + len(missing) > cache_words:
-                known, older = {"": b""}, known
-                missing = set(words).difference(known)
-            fresh = []
-            for word in missing:
-                if word in older:
-                    known[word] = older[word]
-                else:
-                    fresh.append(word)
-            for word, ids in zip(fresh, [got.ids for got in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]):
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(known.__getitem__, words))
-
-    _encoders[path] = encode
-    return encode
-
-
 def cut(n: int, capacity: int, slack: int) -> Iterator[tuple[int, int]]:
     """(length, class) of the pieces of a document of n ids, in order."""
     while n >= capacity:
@@ -145,7 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, s
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(tokenizer_path)
+        encode = text_encoder(tokenizer_path)
         bins = Bins(TaskContext.get().partitionId() << PARTITION_SHIFT, capacity, slack)
 
         def out() -> pa.RecordBatch:
@@ -155,8 +113,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, s
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in text_slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bins.add(doc_id, encode(text or "") + end)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+                bins.add(doc_id, ids + end)
             yield out()
         bins.finish()
         yield out()

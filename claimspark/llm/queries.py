@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, passages, pii, quality, toxicity
+from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, passages, pii, quality, rans, toxicity
 from claimspark.llm.common import documents
+from claimspark.session import shared_scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,10 +115,10 @@ def op7_passage_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op8_harmonic_packing")
@@ -188,3 +189,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 @query("op10_quality_divergence", _quality_sql())
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
+
+
+@query("op12_rans_token_ids")
+def op12_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_scratch(spark, "token-store")
+    rans.write_ids(documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"))
+    return rans.read_documents(spark, path)
