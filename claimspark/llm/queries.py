@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, passages, pii, quality, rans, toxicity
+from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, passages, phrases, pii, quality, rans, toxicity
 from claimspark.llm.common import documents
 from claimspark.session import shared_scratch
 
@@ -196,3 +196,36 @@ def op12_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_scratch(spark, "token-store")
     rans.write_ids(documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"))
     return rans.read_documents(spark, path)
+
+
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT lang, unnest(string_split(text, chr(10))) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
+      'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' ') AS text FROM documents)
+), w AS (
+  SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) ks(k))
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, k, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS lp, array_to_string(ws[cut + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM parts c JOIN f l ON l.lang = c.lang AND l.phrase = c.lp JOIN f r ON r.lang = c.lang AND r.phrase = c.rp
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank, b.phrase, b.a, l, r, n.n, score
+FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase AND b.k = 2 JOIN n ON n.lang = b.lang
+WHERE o.a IS NULL OR 100 * o.a < 50 * b.a QUALIFY row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) <= 2000
+"""
+
+
+@query("op13_misra_gries_phrases", PHRASES_SQL)
+def op13_misra_gries_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
