@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, passages, phrases, pii, quality, rans, toxicity
+from claimspark.llm import chat, decontam, exactspans, linededup, neardup, packing, passages, phrases, pii, quality, rans, toxicity, trie
 from claimspark.llm.common import documents
 from claimspark.session import shared_scratch
 
@@ -229,3 +229,39 @@ WHERE o.a IS NULL OR 100 * o.a < 50 * b.a QUALIFY row_number() OVER (PARTITION B
 @query("op13_misra_gries_phrases", PHRASES_SQL)
 def op13_misra_gries_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
+
+
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT c FROM t),
+crc AS (
+  SELECT c, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(0, 8)), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS r FROM ids
+), k AS (SELECT c, c - c % 20 AS base, (4294967295 - r) % 4 AS h FROM crc),
+own AS (
+  SELECT k.c, t.i + 1000000000000 AS i, t.role, t.text FROM k JOIN t ON t.c = k.c WHERE t.i > k.h
+  UNION ALL SELECT k.c, t.i, t.role, t.text FROM k JOIN t ON t.c = k.base WHERE t.i <= k.h
+), r AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, role, text, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM own
+), p AS MATERIALIZED (
+  SELECT c, d, w, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '|') OVER (PARTITION BY c ORDER BY d)) AS p FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM ids
+), m AS MATERIALIZED (
+  SELECT p.*, lag(p) OVER q AS up, d = max(d) OVER (PARTITION BY c) AS ends FROM p WINDOW q AS (PARTITION BY c ORDER BY d)
+), nodes AS MATERIALIZED (
+  SELECT p, any_value(d) AS d, any_value(w) AS w, any_value(up) AS up, min(c) AS conv, count(*) AS n,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY p
+), kids AS (SELECT up AS p, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY 1),
+own_nodes AS MATERIALIZED (SELECT n.*, coalesce(kids, 0) AS kids FROM nodes n LEFT JOIN kids USING (p)),
+path AS (SELECT o.p, o.n, o.w, o.kids, m.p AS top FROM own_nodes o JOIN m ON m.c = o.conv AND m.d <= o.d),
+sums AS (SELECT top AS p, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n - 1) * w)::BIGINT AS saved_tokens FROM path GROUP BY 1)
+SELECT o.conv AS conv_id, o.d AS depth, u.conv AS parent_conv_id, o.n AS n_convs, o.kids AS n_children, n_leaves, saved_tokens, o.ends_sha256
+FROM own_nodes o JOIN sums USING (p) LEFT JOIN nodes u ON u.p = o.up AND o.d > 0
+"""
+
+
+@query("op11_zfast_prefix_trie", TRIE_SQL)
+def op11_zfast_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
