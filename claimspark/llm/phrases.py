@@ -31,7 +31,7 @@ from claimspark.llm.shingles import mix
 from claimspark.operators.skew import skew_join
 from claimspark.session import checkpoint
 
-SLAB_BYTES = 1 << 24  # text that a task counts at once
+SLAB_BYTES = 1 << 23  # text that a task counts at once
 PART_BYTES = 1 << 22  # longest part of one text
 CAPACITY = 1 << 20  # counters of a summary
 FILTER_BITS = 1 << 28
@@ -243,11 +243,15 @@ def exact_counts(texts: DataFrame, passes: tuple[np.ndarray, int], max_words: in
     """``lang``, ``phrase``, ``k`` (words), ``f`` of all n-grams whose bit is set; k = 0 has the words of a language."""
     shared = texts.sparkSession.sparkContext.broadcast(passes)
 
+    def batch_of(lang: str, names: list[str], k: int, counts) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(names)), pa.array(names), pa.array(np.full(len(names), k, np.int32)), pa.array(counts, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "k", "f"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passing = Filter(*shared.value)
         for lang, slab in slabs(batches, max_words):
-            codes, rows = slab.codes, [(lang, "", 0, slab.n_words())]
-            n = len(slab.words)
+            codes, n = slab.codes, len(slab.words)
+            yield batch_of(lang, [""], 0, [slab.n_words()])
             hashes = mix(slab.hashes)
             good = passing(hashes)
             good[0] = False
@@ -267,10 +271,9 @@ def exact_counts(texts: DataFrame, passes: tuple[np.ndarray, int], max_words: in
                     names = [names[a] + b" " + slab.words[b] for a, b in zip((keys // n).tolist(), (keys % n).tolist())]
                 counts = np.bincount(which[starts + k > slab.skip], minlength=len(names))
                 used = np.flatnonzero(counts)
-                rows += [(lang, names[i].decode("utf-8", "replace"), k, c) for i, c in zip(used.tolist(), counts[used].tolist())]
-            for at in range(0, len(rows), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 50_000]), (pa.string(), pa.string(), pa.int32(), pa.int64()))],
-                                                 names=["lang", "phrase", "k", "f"])
+                for at in range(0, len(used), 20_000):
+                    some = used[at:at + 20_000]
+                    yield batch_of(lang, [names[i].decode("utf-8", "replace") for i in some.tolist()], k, counts[some])
 
     return texts.mapInArrow(run, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
