@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.names import strip, text_hash
+from claimspark.operators.skew import skew_join
 from claimspark.session import checkpoint
 
 DONE = ("success", "failed", "skipped")
@@ -120,35 +120,53 @@ def _scan_misses(ttl_us: int, inclusive: bool):
     return scan
 
 
-def _slice_anchors(hot: DataFrame, ttl_us: int, inclusive: bool, slices: list[int]) -> DataFrame:
-    """Anchors of hot keys, one TTL-wide time slice after the other.
+def _next_misses(times: DataFrame, ttl_us: int, inclusive: bool) -> DataFrame:
+    """``_k``, ``_us``, ``_next``: for every time the first one of its key past its expiry, null if there is none.
 
-    Two anchors are at least a TTL apart, so a slice holds at most one per key: the earliest request
-    past the current anchor's expiry. That is a ``min`` per key and combines map-side.
+    Times and expiries are merged within (key, bucket), a bucket being a small part of the TTL; where a bucket holds no later
+    time, the next bucket in use answers with its first one. So a hot key spreads over as many tasks as it has buckets.
     """
-    state, steps = None, []
-    for number in slices:
-        part = hot.filter(F.col("_slice") == number)
-        if state is None:
-            step = part.groupBy("_k").agg(F.min("_us").alias("_anchor")).withColumn("_new", F.lit(True))
-        else:
-            later = F.col("_us") > F.col("_anchor") + ttl_us if inclusive else F.col("_us") >= F.col("_anchor") + ttl_us
-            known = state.select("_k", "_anchor")
-            fresh = part.join(known, "_k", "left").filter(F.col("_anchor").isNull() | later).groupBy("_k").agg(F.min("_us").alias("_us"))
-            step = known.join(fresh, "_k", "full_outer").select(
-                "_k", F.coalesce("_us", "_anchor").alias("_anchor"), F.col("_us").isNotNull().alias("_new"))
-        state = checkpoint(step, "anchors")
-        steps.append(state.filter("_new").select("_k", F.col("_anchor").alias("_us")))
-    return reduce(DataFrame.unionByName, steps)
+    width = max(1, ttl_us // 64)
+    ask = F.col("_us") + ttl_us + (1 if inclusive else 0)
+    none = F.lit(None).cast("long")
+    both = times.select("_k", F.col("_us").alias("_at"), F.col("_us").alias("_time"), none.alias("_from")).unionByName(
+        times.select("_k", ask.alias("_at"), none.alias("_time"), F.col("_us").alias("_from")))
+    later = Window.partitionBy("_k", "_bucket").orderBy(F.desc("_at"), F.col("_from").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    asked = both.withColumn("_bucket", F.floor(F.col("_at") / width)).withColumn("_found", F.min("_time").over(later)).filter("_from IS NOT NULL")
+    asked = checkpoint(asked.select("_k", "_bucket", F.col("_from").alias("_us"), "_found"), "expiries")
+    firsts = times.groupBy("_k", F.floor(F.col("_us") / width).alias("_bucket")).agg(F.min("_us").alias("_first"))
+    open_ends = asked.filter("_found IS NULL").select("_k", "_bucket").distinct()
+    beyond = Window.partitionBy("_k").orderBy(F.desc("_bucket"), F.col("_first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = open_ends.withColumn("_first", none).unionByName(firsts).withColumn("_later", F.min("_first").over(beyond)).filter("_first IS NULL")
+    rest = rest.select("_k", "_bucket", "_later")
+    return skew_join(asked, rest, ["_k", "_bucket"], "left").select("_k", "_us", F.coalesce("_found", "_later").alias("_next"))
+
+
+def _chained_anchors(times: DataFrame, ttl_us: int, inclusive: bool) -> DataFrame:
+    """The misses ``_k``, ``_us`` of every key: what its first time reaches over next-miss pointers.
+
+    Pointers are doubled: after round i they span 2**i misses and all those within that reach are known. Rounds are logarithmic in
+    the misses of a key, each a written table. Only times that some pointer names can be misses, so only they keep one.
+    """
+    pointers = checkpoint(_next_misses(times, ttl_us, inclusive).filter("_next IS NOT NULL"), "pointers")
+    reached = checkpoint(times.groupBy("_k").agg(F.min("_us").alias("_us")), "anchors")
+    named = reached.union(pointers.select("_k", "_next")).distinct()
+    pointers = checkpoint(pointers.join(named, ["_k", "_us"], "left_semi"), "pointers")
+    while not pointers.isEmpty():
+        ahead = reached.join(pointers, ["_k", "_us"]).select("_k", F.col("_next").alias("_us"))
+        reached = checkpoint(reached.union(ahead), "anchors")
+        onward = pointers.select("_k", F.col("_us").alias("_next"), F.col("_next").alias("_after"))
+        pointers = checkpoint(skew_join(pointers, onward, ["_k", "_next"]).select("_k", "_us", F.col("_after").alias("_next")), "pointers")
+    return reached
 
 
 def reuse_flags(requests: DataFrame, ttl_seconds: int = 86_400, key: str = "key", ts: str = "ts", request_id: str = "request_id",
-                inclusive: bool = False, trimmed: bool = True, hot_rows: int = 5_000_000, max_slices: int = 2_000) -> DataFrame:
+                inclusive: bool = False, trimmed: bool = True, hot_rows: int = 5_000_000) -> DataFrame:
     """Append ``hit``: whether a verdict younger than the TTL existed for the normalised key.
 
     The clock restarts on a miss only; a hit does not refresh it. ``inclusive`` counts an age of
-    exactly the TTL as a hit. Ordinary keys are walked in sorted partitions. Keys with more than
-    ``hot_rows`` distinct times go slice by slice instead, unless the log spans too many slices.
+    exactly the TTL as a hit. Ordinary keys are walked in sorted partitions, one pass each. Keys with more than
+    ``hot_rows`` distinct times go through next-miss pointers instead, however long their log is.
     """
     ttl = ttl_seconds * 1_000_000
     keyed = requests.withColumns({"_k": request_key(F.col(key), trimmed), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
@@ -157,11 +175,9 @@ def reuse_flags(requests: DataFrame, ttl_seconds: int = 86_400, key: str = "key"
     cold, anchors = times, None
     if not hot_keys.isEmpty():
         hot_keys = checkpoint(hot_keys)
-        hot = checkpoint(times.join(hot_keys, "_k", "left_semi").withColumn("_slice", F.floor(F.col("_us") / ttl)))
-        numbers = [r[0] for r in hot.select("_slice").distinct().orderBy("_slice").limit(max_slices + 1).collect()]
-        if len(numbers) <= max_slices:
-            cold = times.join(hot_keys, "_k", "left_anti")
-            anchors = _slice_anchors(hot, ttl, inclusive, numbers).join(hot.select("_k", "_us", "_first"), ["_k", "_us"])
+        hot = checkpoint(times.join(hot_keys, "_k", "left_semi"), "hot-times")
+        cold = times.join(hot_keys, "_k", "left_anti")
+        anchors = _chained_anchors(hot.select("_k", "_us"), ttl, inclusive).join(hot, ["_k", "_us"])
     walked = cold.select("_k", "_us", "_first").repartition("_k").sortWithinPartitions("_k", "_us").mapInPandas(
         _scan_misses(ttl, inclusive), cold.select("_k", "_us", "_first").schema)
     misses = walked if anchors is None else walked.unionByName(anchors.select("_k", "_us", "_first"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimspark import lexicons as L
 from claimspark.functions.text import credibility_overall
+from claimspark.operators.skew import hot_keys, skew_join
 from claimspark.operators.textjoin import containment_pairs
 
 CLAIM_TYPES = ["geographic", "biographical", "historical", "scientific", "quote", "other"]
@@ -136,7 +137,8 @@ def verify_person_facts(claims: DataFrame, entity_facts: DataFrame, records: Dat
     known = entity_facts.groupBy(F.col("entity").alias("person"), F.col("property").alias("_target")).agg(
         F.min_by(F.struct("value", "confidence", "source"), "ordinal").alias("f"))
     backup = records.groupBy(F.col("name").alias("person")).agg(F.min_by("birth_date", "ordinal").alias("_birth"))
-    joined = claims.withColumn("_target", target).join(known, ["person", "_target"], "left").join(backup, "person", "left")
+    joined = skew_join(claims.withColumn("_target", target), known, ["person", "_target"], "left")
+    joined = skew_join(joined, backup, ["person"], "left", hot=hot_keys(claims, ["person"]))
     has = F.coalesce(F.col("f.value"), F.lit("")) != ""
     fallback = ~has & (F.col("claim_type") == "birth_date") & F.col("_birth").isNotNull()
     return joined.select(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.functions.names import strip
+from claimspark.operators.skew import hot_keys, skew_join
 from claimspark.session import checkpoint
 
 NODE_KEY = ["node_type", "source_label", "name"]
@@ -226,10 +227,11 @@ def related(edges: DataFrame, nodes: DataFrame, depth: int = 2, k: int = 10, see
 
     direct = base.withColumn("dist", F.lit(1))
     known = direct
+    hubs = hot_keys(base.select(F.col("dst").alias("via")), ["via"]) if depth > 1 else []
     for _ in range(depth - 1):
         best = keep_best(known, k + 1)
-        onward = base.select("src", F.col("dst").alias("via")).join(
-            best.select(F.col("src").alias("via"), "dst", "popularity", (F.col("dist") + 1).alias("dist")), "via")
+        onward = skew_join(base.select("src", F.col("dst").alias("via")), best.select(
+            F.col("src").alias("via"), "dst", "popularity", (F.col("dist") + 1).alias("dist")), ["via"], hot=hubs)
         known = direct.unionByName(onward.filter(F.col("src") != F.col("dst")).select("src", "dst", "popularity", "dist"))
     top = keep_best(known, k)
     if seeds is not None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from claimspark.functions.names import strip
 from claimspark.functions.text import preview
 from claimspark.functions.tokens import jaccard, words
+from claimspark.operators.skew import skew_join
 from claimspark.operators.textjoin import containment_pairs
 from claimspark.session import bounded_rows, checkpoint
 
@@ -117,20 +118,21 @@ def match_candidates(claims: DataFrame, prepared: DataFrame, min_score: float) -
     return inside.unionByName(around).unionByName(similar).distinct()
 
 
-def _match_joined(claims: DataFrame, prepared: DataFrame, claim_id: str, text: str, min_score: float) -> DataFrame:
+def _match_joined(claims: DataFrame, prepared: DataFrame, text: str, min_score: float) -> DataFrame:
     """Best myth per claim through equi-joins, and the two cases in which everything pairs with everything:
 
     an empty claim lies in every myth, so its best is one aggregate over the myths; a myth with an empty text or keyword
     lies in every claim, so those myths are scored as literals, block by block.
     """
     prepared = checkpoint(prepared, "myths")
-    base = checkpoint(claims.select(F.col(claim_id).alias("_cid"), strip(F.lower(text)).alias("_c")).withColumn(
-        "_w", F.array_distinct(words(F.col("_c")))), "claims")
+    # One row per distinct text: repeated or null claim ids cannot mix up answers, and copies are matched once.
+    base = claims.select(strip(F.lower(text)).alias("_c")).filter("_c IS NOT NULL").distinct()
+    base = checkpoint(base.withColumns({"_cid": F.col("_c"), "_w": F.array_distinct(words(F.col("_c")))}), "claims")
     pairs = match_candidates(base.filter(F.length("_c") > 0), prepared, min_score)
     scored = pairs.join(base, "_cid").join(prepared, "id").withColumn("score", _score(
         F.col("_c"), F.col("_w"), F.col("de"), F.col("en"), F.col("de_words"), F.col("en_words"), F.col("keywords")))
     best = scored.groupBy("_cid").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("neg"), "id")).alias("b"))
-    out = claims.join(best.withColumnRenamed("_cid", claim_id), claim_id, "left").withColumn("_c", strip(F.lower(text)))
+    out = skew_join(claims.withColumn("_c", strip(F.lower(text))), best.withColumnRenamed("_cid", "_c"), ["_c"], "left")
     out = out.withColumn("_w", F.array_distinct(words(F.col("_c"))))
     for rows in _blocks(prepared.filter((F.col("de") == "") | F.array_contains("keywords", "")), INLINE_MYTHS):
         out = out.withColumn("b", F.greatest("b", F.array_max(_scored_literal(rows))))
@@ -166,7 +168,7 @@ def match_myths(claims: DataFrame, myths: DataFrame, min_score: float = 2, claim
     if rows is not None and not rows:
         return claims.withColumns({"myth_id": F.lit(None).cast("string"), "myth_score": F.lit(None).cast("double")})
     matched = _match_inline(claims, rows, text) if rows is not None else _match_joined(
-        claims, prepared, claim_id, text, min_score)
+        claims, prepared, text, min_score)
     ok = F.col("myth_score") >= min_score
     return matched.withColumns({"myth_id": F.when(ok, F.col("myth_id")), "myth_score": F.when(ok, F.col("myth_score"))})
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from claimspark import lexicons as L
 from claimspark.functions.names import levenshtein_ratio, normalize_name, soundex4, strip
+from claimspark.operators.skew import skew_join
 from claimspark.operators.textjoin import containment_pairs, edit_pairs
 from claimspark.session import checkpoint
 
@@ -124,7 +125,7 @@ def resolve_entities(
     nodes = claim_nodes.select(
         "claim_id", F.col("ordinal").alias("claim_ordinal"), F.col("name").alias("claim_name"),
         F.col("node_type").alias("claim_type"))
-    return nodes.join(scored, ["claim_type", "claim_name"]).withColumn(
+    return skew_join(nodes, scored, ["claim_type", "claim_name"]).withColumn(
         "rank", F.row_number().over(best_first)
     ).select("claim_id", "claim_ordinal", "claim_name", "claim_type", "fact_id", "fact_name", "fact_type",
              "match_score", "match_method", "rank")
