@@ -40,6 +40,9 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+PADDING = 0xFFFFFFFF  # no code point
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
@@ -132,15 +135,16 @@ class Index:
         found: list[tuple[int, int, int, int]] = []
         for i, b in zip(item[passed].tolist(), band[passed].tolist()):
             k, m = int(self.budget[i]), len(self.chars[i])
-            start = max(0, b * (k + 1))
-            width = b * (k + 1) + 2 * (k + 1) - start
-            if width <= 0:
-                continue
-            exact = low.find(self.items[i], start, start + width - 1 + m)
+            start, width = b * (k + 1), 2 * (k + 1)
+            first = max(0, start)
+            exact = low.find(self.items[i], first, max(first, start + width - 1 + m))
             if exact >= 0:
                 edits, end = 0, exact + m
-            else:
-                edits, end = banded_distance(self.chars[i], chars[start:start + width + m], width)
+            else:  # before the text's first character lies padding that equals nothing, so an item may lack its first characters there
+                region = chars[first:max(first, start + width + m)]
+                if start < 0:
+                    region = np.concatenate([np.full(-start, PADDING, dtype=region.dtype), region])
+                edits, end = banded_distance(self.chars[i], region, width)
                 end += start
             if edits <= k:
                 found.append((i, max(0, end - m), end, edits))

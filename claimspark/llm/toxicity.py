@@ -111,7 +111,9 @@ class Model:
         """(score, first, end) of all maximal segments of positive score, by a scan that touches every token once."""
         s = self.scores[tokens]
         odd = np.flatnonzero(s != -self.drift)
-        stack: list[tuple[float, float, int, int]] = []  # sum left of it, sum to its end, first, end
+        # Sum left of it, sum to its end, first, end, and the nearest entry below with a lower left sum. What a step passes over
+        # lies behind the new entry's link or is removed, so no entry is passed twice.
+        stack: list[tuple[float, float, int, int, int]] = []
         total, last = 0.0, -1
         for at, score in zip(odd.tolist(), s[odd].tolist()):
             total -= self.drift * (at - last - 1)
@@ -121,16 +123,17 @@ class Model:
                 continue
             left, right, first = total, total + score, at
             total = right
+            j = len(stack) - 1
             while True:
-                j = len(stack) - 1
                 while j >= 0 and stack[j][0] >= left:
-                    j -= 1
+                    j = stack[j][4]
                 if j < 0 or stack[j][1] >= right:
                     break
-                left, first = stack[j][0], stack[j][2]
+                left, first, below = stack[j][0], stack[j][2], stack[j][4]
                 del stack[j:]
-            stack.append((left, right, first, at + 1))
-        return [(right - left, first, end) for left, right, first, end in stack]
+                j = below
+            stack.append((left, right, first, at + 1, j))
+        return [(right - left, first, end) for left, right, first, end, _ in stack]
 
 
 SEGMENTS = ("doc_id long, n_tokens long, best double, strong double, n_strong long, score double, "
