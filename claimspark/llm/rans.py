@@ -36,8 +36,8 @@ from claimspark.session import bounded_broadcast, checkpoint
 
 SCALE_BITS = 20
 LANES = 2048
-CHECK_STEPS = 256
-BLOCK_IDS = 1 << 20
+CHECK_STEPS = 128
+BLOCK_IDS = 1 << 19
 LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
 WORD_MASK = np.uint64((1 << 32) - 1)

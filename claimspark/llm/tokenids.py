@@ -15,10 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-CACHE_WORDS = 500_000  # of each of two generations, together about 220 MB in a Python worker
+CACHE_WORDS = 300_000  # of each of two generations, together about 130 MB in a Python worker
 MAX_MARKS = 10_000
 MAX_KEPT = 64  # longer pieces are encoded but not kept
-LETTERS = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#()/=+-]*)")  # composed letters only: no normalisation changes them
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch  # composed letters only: no normalisation changes them
+MARKS = ".,;:!?$%&*#()/=+-"  # behind letters they make tokens of their own
 # A cut before a space or line end is safe if the character before it or behind it is visible.
 UNSAFE_CUT = re.compile(r"\s[ \n](?:\s|\Z)")
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (10, 32)]
@@ -79,45 +80,48 @@ class WordIds:
             out += [data[a:b] for a, b in zip(edges, edges[1:])]
         return out
 
-    def lookup(self, words: list[str]) -> bytes:
-        """The ids of the pieces one after another."""
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            extra = self.learn(words)
-        if extra:
-            return b"".join([self.known[w] if w in self.known else extra[w] for w in words])
-        return b"".join(map(self.known.__getitem__, words))
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        missing = set(words).difference(self.known)
-        if missing and len(self.known) > self.cache_words:
-            self.known, self.older = {}, self.known
-            missing = set(words)
-        return self.add(missing) if missing else {}
+    def ids_of(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of the pieces of each list, one after another."""
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, ids in enumerate(got) if ids is None] for got in found]
+        missing = {words[i] for words, at in zip(split, gaps) for i in at}
+        if missing:
+            if len(self.known) > self.cache_words:
+                self.known, self.older = {}, self.known
+            extra = self.add(missing)
+            known = self.known
+            for words, got, at in zip(split, found, gaps):
+                for i in at:
+                    ids = known.get(words[i])
+                    got[i] = extra[words[i]] if ids is None else ids
+        return list(map(b"".join, found))
 
     def add(self, missing: set[str]) -> dict[str, bytes]:
         """Fill the dictionary; the ids of pieces too long for it are returned."""
-        known, older, shape = self.known, self.older, LETTERS.fullmatch
+        known, older, lower = self.known, self.older, self.lower
+        back = [w for w in missing if w in older]
+        if back:
+            known.update(zip(back, map(older.__getitem__, back)))
+            missing.difference_update(back)
         split, other, fresh = [], [], set()
         for word in missing:
-            ids = older.get(word)
-            if ids is not None:
-                known[word] = ids
-                continue
-            hit = shape(word) if len(word) <= MAX_KEPT else None
-            if hit:
-                head, core, mark = hit.groups()
-                core = head + (core.lower() if self.lower else core)
-                if core not in known:
-                    if core in older:
-                        known[core] = older[core]
-                    else:
-                        fresh.add(core)
-                if core != word:
-                    split.append((word, core, mark))
-            else:
+            body = word[1:] if word[:1] == "\n" else word
+            core = body.rstrip(MARKS)
+            if len(word) > MAX_KEPT or not (core.isascii() and core.isalpha() or LATIN(core)):
                 other.append(word)
+                continue
+            mark = body[len(core):]
+            if lower:
+                core = core.lower()
+            if body is not word:
+                core = "\n" + core
+            if core not in known:
+                if core in older:
+                    known[core] = older[core]
+                else:
+                    fresh.add(core)
+            if core != word:
+                split.append((word, core, mark))
         fresh = list(fresh)
         line_end = self.marks["\n"]
         for core, ids in zip(fresh, self.letters(fresh)):
@@ -152,10 +156,7 @@ def text_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[list[st
     behind = WordIds(path, cache_words, lower, True) if keeps_space else None
 
     def encode_words(texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(split) > 1:
-            first.learn([w for words in split for w in words])
-        return [first.lookup(words) for words in split]
+        return first.ids_of([text.replace("\n", " ").split(" ") for text in texts])
 
     def spaced(text: str) -> list[str] | None:
         """The pieces, or None if the text has white space whose tokens depend on what stands beside it."""
@@ -166,9 +167,9 @@ def text_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[list[st
 
     def encode_spaced(texts: list[str]) -> list[bytes]:
         split = [spaced(text) for text in texts]
-        if len(split) > 1:
-            behind.learn([w for words in split if words for w in words[1:]])
-        return [first.lookup(words[:1]) + behind.lookup(words[1:]) if words else first.whole([text])[0] for text, words in zip(texts, split)]
+        heads, tails = first.ids_of([words[:1] for words in split if words]), behind.ids_of([words[1:] for words in split if words])
+        plain = map(bytes.__add__, heads, tails)
+        return [next(plain) if words else first.whole([text])[0] for text, words in zip(texts, split)]
 
     part = encode_spaced if keeps_space else encode_words
 
