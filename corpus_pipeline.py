@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
-    gone = neardup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id"))
+    """One document, that with the smallest id, of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    gone = neardup.near_duplicates(docs, percent=80).filter("NOT kept").select(F.col("doc_id").alias("_id"))
     return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").select(*COLUMNS)
 
 
