@@ -27,6 +27,7 @@ from claimspark.llm.common import text_slices
 from claimspark.llm.tokenids import text_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+CACHE_WORDS = 900_000  # words of each of the encoder's two generations, together about 400 MB in a Python worker
 PARTITION_SHIFT = 33  # sequence ids: partition number above, count within the partition below
 
 Piece = tuple  # (doc_id, start, length, crc, doc_tokens)
@@ -103,7 +104,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, s
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_encoder(tokenizer_path)
+        encode = text_encoder(tokenizer_path, CACHE_WORDS)
         bins = Bins(TaskContext.get().partitionId() << PARTITION_SHIFT, capacity, slack)
 
         def out() -> pa.RecordBatch:
