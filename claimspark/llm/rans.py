@@ -38,6 +38,7 @@ SCALE_BITS = 20
 LANES = 2048
 CHECK_STEPS = 128
 BLOCK_IDS = 1 << 19
+CACHE_WORDS = 450_000  # words of each of the encoder's two generations, together about 200 MB in a Python worker
 LOW = np.uint64(1 << 31)
 WORD_BITS = np.uint64(32)
 WORD_MASK = np.uint64((1 << 32) - 1)
@@ -205,7 +206,7 @@ def _tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, block_ids: int)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = text_encoder(tokenizer_path)
+        encode_texts = text_encoder(tokenizer_path, CACHE_WORDS)
         shard, block, parts, size, ordinal, first_ord, entries = TaskContext.get().partitionId(), 0, [], 0, -1, 0, []
 
         def close() -> pa.RecordBatch:

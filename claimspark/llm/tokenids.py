@@ -53,11 +53,8 @@ class WordIds:
     follow a space that belongs to their first token, but for those that begin with a line end.
     """
 
-    def __init__(self, path: str, cache_words: int, lower: bool, spaced: bool):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.full, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+    def __init__(self, full, bare, cache_words: int, lower: bool, spaced: bool):
+        self.full, self.bare = full, bare
         self.cache_words, self.lower, self.space = cache_words, lower, " " if spaced else ""
         marks = _byte_marks()
         self.head = marks[32] if spaced else ""
@@ -148,12 +145,16 @@ def text_encoder(path: str, cache_words: int = CACHE_WORDS) -> Callable[[list[st
     if (path, cache_words) in _encoders:
         return _encoders[path, cache_words]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     keeps_space = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
     lower = "Lowercase" in json.dumps(spec.get("normalizer"))
-    first = WordIds(path, cache_words // 10 if keeps_space else cache_words, lower, False)
-    behind = WordIds(path, cache_words, lower, True) if keeps_space else None
+    full, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+    first = WordIds(full, bare, cache_words // 10 if keeps_space else cache_words, lower, False)
+    behind = WordIds(full, bare, cache_words, lower, True) if keeps_space else None
 
     def encode_words(texts: list[str]) -> list[bytes]:
         return first.ids_of([text.replace("\n", " ").split(" ") for text in texts])
