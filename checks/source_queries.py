@@ -255,28 +255,30 @@ def g6(spark, d):
 
 
 def _responses(spark, d) -> DataFrame:
-    """Model answers as they come: fenced, chatty, with trailing commas or bare keys, some broken."""
+    """Model answers as they come: fenced, chatty, with trailing commas, bare keys or braces around them, some broken.
+
+    Every answer carries a remark whose value looks like JSON."""
     k, c = F.col("o_orderkey"), I.s("o_custkey")
     node = js('{"name": "Customer ', c, '", "node_type": "person", "birth_date": "', F.date_format("o_orderdate", "yyyy-MM-dd"), '"}')
     event = js('{"name": "Order ', I.s("o_orderkey"), '", "node_type": "EVENT", "confidence": ', F.when(k % 6 == 0, "1.5").otherwise("0.5"), "}")
-    rel = js('{"source_name": " Customer ', c, '", "source_type": "Person", "relation_type": "', F.when(k % 7 == 0, "LIKES").otherwise("PARTICIPATED_IN"), '", "target_name": "Order ', I.s("o_orderkey"), '", "target_type": "Event"}')
+    rel = js('{"source_name": " Customer ', c, '", "source_type": "Person", "properties": {"note": "as {said}, key: ', c, ',]"}, "relation_type": "', F.when(k % 7 == 0, "LIKES").otherwise("PARTICIPATED_IN"), '", "target_name": "Order ', I.s("o_orderkey"), '", "target_type": "Event"}')
     body = js("[", node, ", ", event, ', {"name": "", "node_type": "Event"}]')
     clean = js('{"nodes": ', body, ', "relationships": [', rel, "]}")
     comma = js('{"nodes": ', body, ', "relationships": [', rel, ",],}")
     bare = js("{entities: ", F.regexp_replace(body, '"([a-z_]+)":', "$1:"), ", relations: [", F.regexp_replace(rel, '"([a-z_]+)":', "$1:"), "]}")
-    text = F.when(k % 5 == 0, js("```json\n", clean, "\n```")).when(k % 5 == 1, js("Let me think.\n", comma)).when(k % 5 == 2, bare).when(k % 5 == 3, clean).otherwise(F.lit("no answer"))
+    text = F.when(k % 5 == 0, js("```json\n", clean, "\n```")).when(k % 5 == 1, js("Let me {think}.\n", comma, "\nSee {note} above.")).when(k % 5 == 2, js(bare, " }")).when(k % 5 == 3, clean).otherwise(F.lit("no answer"))
     orders = spread(I.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
     return orders.select(I.s("o_orderkey").alias("claim_id"), text.alias("response"), F.col("o_orderpriority").alias("source_text"))
 
 
 @query("s17_ingest_extractions", """SELECT 'node' AS what, CAST(o_orderkey AS VARCHAR) AS claim_id, 'Person:Customer ' || o_custkey AS item FROM orders WHERE o_orderkey % 5 <> 4 UNION ALL SELECT 'node', CAST(o_orderkey AS VARCHAR), 'Event:Order ' || o_orderkey FROM orders WHERE o_orderkey % 5 <> 4 AND o_orderkey % 6 <> 0
-    UNION ALL SELECT 'rel', CAST(o_orderkey AS VARCHAR), 'Customer ' || o_custkey || '>Order ' || o_orderkey FROM orders WHERE o_orderkey % 5 <> 4 AND o_orderkey % 7 <> 0
+    UNION ALL SELECT 'rel', CAST(o_orderkey AS VARCHAR), 'Customer ' || o_custkey || '>Order ' || o_orderkey || '|as {said}, key: ' || o_custkey || ',]' FROM orders WHERE o_orderkey % 5 <> 4 AND o_orderkey % 7 <> 0
     UNION ALL SELECT 'reject', CAST(o_orderkey AS VARCHAR), 'response:json' FROM orders WHERE o_orderkey % 5 = 4 UNION ALL SELECT 'reject', CAST(o_orderkey AS VARCHAR), 'node:name' FROM orders WHERE o_orderkey % 5 <> 4
     UNION ALL SELECT 'reject', CAST(o_orderkey AS VARCHAR), 'node:confidence' FROM orders WHERE o_orderkey % 5 <> 4 AND o_orderkey % 6 = 0 UNION ALL SELECT 'reject', CAST(o_orderkey AS VARCHAR), 'relationship:relation_type' FROM orders WHERE o_orderkey % 5 <> 4 AND o_orderkey % 7 = 0""")
 def s17(spark, d):
     nodes, rels, rejects = X.ingest_extractions(_responses(spark, d))
     return (nodes.select(F.lit("node").alias("what"), "claim_id", js(F.col("node_type"), ":", F.col("name")).alias("item"))
-            .unionByName(rels.select(F.lit("rel").alias("what"), "claim_id", js(F.col("source_name"), ">", F.col("target_name")).alias("item")))
+            .unionByName(rels.select(F.lit("rel").alias("what"), "claim_id", js(F.col("source_name"), ">", F.col("target_name"), "|", F.col("properties")["note"]).alias("item")))
             .unionByName(rejects.select(F.lit("reject").alias("what"), "claim_id", js(F.col("what"), ":", F.array_join("reasons", ",")).alias("item"))))
 
 

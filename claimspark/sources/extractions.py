@@ -10,24 +10,54 @@ from claimspark.schema import validate_nodes, validate_rels
 from claimspark.session import checkpoint
 
 
-def json_body(response: Column) -> Column:
-    """From the first brace to the last; code fences and reasoning around it fall away."""
-    return F.regexp_extract(response, r"(?s)\{.*\}", 0)
+# Up to the next brace outside a string, braces included. Possessive, so long texts need no stack and nothing is tried twice.
+_TO_BRACE = r'(?s)(?:[^"{}\\]++|\\"?+|"(?:[^"\\]|\\.)*+"|")*+[{}]'
+_STRINGS_APART = r'(?s)"(?:[^"\\]|\\.)*+"|[^"]+|"'
+_FIELDS = ("nodes", "entities", "relationships", "relations")
+
+
+def json_bodies(text: Column) -> Column:
+    """Every outermost ``{...}`` of a text in order; braces within strings do not count. Linear in the text."""
+    start = F.expr("named_struct('depth', 0, 'pos', 1, 'open', 1, 'spans', cast(array() as array<struct<start:int,len:int>>))")
+
+    def step(state: Column, token: Column) -> Column:
+        opens, depth = F.endswith(token, F.lit("{")), state["depth"]
+        ends = state["pos"] + F.length(token)
+        span = F.struct(state["open"].alias("start"), (ends - state["open"]).alias("len"))
+        return F.struct(
+            F.when(opens, depth + 1).otherwise(F.greatest(depth - 1, F.lit(0))).alias("depth"), ends.alias("pos"),
+            F.when(opens & (depth == 0), ends - 1).otherwise(state["open"]).alias("open"),
+            F.when(~opens & (depth == 1), F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    spans = F.aggregate(F.regexp_extract_all(text, F.lit(_TO_BRACE), F.lit(0)), start, step)["spans"]
+    return F.transform(spans, lambda s: F.substring(text, s["start"], s["len"]))
 
 
 def repair_json(body: Column) -> Column:
-    """Drop trailing commas and quote bare keys."""
-    no_commas = F.regexp_replace(F.regexp_replace(body, r",\s*\}", "}"), r",\s*\]", "]")
-    return F.regexp_replace(no_commas, r"(\w+):", r'"$1":')
+    """Drop trailing commas and quote bare keys; strings stay as they are."""
+    def mend(piece: Column) -> Column:
+        no_commas = F.regexp_replace(piece, r",(\s*[}\]])", "$1")
+        return F.when(F.startswith(piece, F.lit('"')), piece).otherwise(F.regexp_replace(no_commas, r"([{,]\s*)(\w+)(\s*:)", '$1"$2"$3'))
+
+    return F.array_join(F.transform(F.regexp_extract_all(body, F.lit(_STRINGS_APART), F.lit(0)), mend), "")
 
 
 def parse_responses(raw: DataFrame) -> DataFrame:
-    """``claim_id, response, source_text`` plus variant ``v`` (null if beyond repair) and ``text_hash``."""
-    body = json_body(F.col("response"))
-    return raw.withColumns({
-        "v": F.coalesce(F.try_parse_json(body), F.try_parse_json(repair_json(body))),
-        "text_hash": text_hash(F.col("source_text")),
-    })
+    """``claim_id, response, source_text`` plus variant ``v`` (null if beyond repair) and ``text_hash``.
+
+    The text from the first brace to the last is tried as it stands. If that has none of the expected lists, its outermost objects are tried
+    as they stand and repaired, and the whole repaired (prose quotes can hide a brace): the first with one of the
+    expected lists counts, else the first that parses. Fences, reasoning and remarks around the objects fall away.
+    """
+    has_list = lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{f}", "array<variant>") for f in _FIELDS]).isNotNull()
+    best = lambda a, v: F.when(has_list(a) | v.isNull(), a).when(has_list(v) | a.isNull(), v).otherwise(a)
+    either = lambda body: F.coalesce(F.try_parse_json(body), F.try_parse_json(repair_json(body)))
+    read = raw.withColumns({"_body": F.regexp_extract(F.regexp_extract("response", r"(?s)\{.*", 0), r"(?s)^.*\}", 0),
+                            "text_hash": text_hash(F.col("source_text"))})
+    read = read.withColumn("_strict", F.try_parse_json("_body"))
+    bodies = F.array_append(json_bodies(F.col("_body")), F.col("_body"))
+    mended = F.aggregate(F.transform(bodies, either), F.lit(None).cast("variant"), best)
+    return read.withColumn("v", F.when(has_list(F.col("_strict")), F.col("_strict")).otherwise(mended)).drop("_body", "_strict")
 
 
 def _items(parsed: DataFrame, *paths: str) -> DataFrame:

@@ -108,6 +108,30 @@ def test_extractions(spark, response, nodes, rels):
     assert rejects.count() == (1 if response == "sorry" else 0)
 
 
+@pytest.mark.parametrize("response, names", [
+    ('{"nodes": [{"name": "x, y: z", "node_type": "Event"},],} see {note}', ["x, y: z"]),
+    ('Use {curly} first: {"nodes": [{"name": "A } b", "node_type": "Event"}]} done } x', ["A } b"]),
+    ('{nodes: [{name: "He said \\"a, b: c\\"", node_type: "Event",},],}', ['He said "a, b: c"']),
+    ('{"a": {"nodes": 1}} {"entities": [{"name": "E", "node_type": "event"}]}', ["E"]),
+    ('A 6" gun {"nodes": [{"name": "G", "node_type": "Event"}]} and "more { text', ["G"]),
+    ('{"nodes": [{"name": "see https://x.y, note: z,] }", "node_type": "Event"}], }', ["see https://x.y, note: z,] }"]),
+    ('{"nodes": [{"name": "' + "x" * 200_000 + '\\"", "node_type": "Event"}]} tail }', None)])
+def test_repair_knows_strings_and_depth(spark, response, names):
+    df = spark.createDataFrame([("c", response, "t")], "claim_id string, response string, source_text string")
+    n, _, rejects = X.ingest_extractions(df)
+    assert rejects.count() == 0 or names is None
+    if names:
+        assert [r["name"] for r in n.collect()] == names
+    else:  # parsed whole; only the name's length is refused
+        assert X.parse_responses(df).selectExpr("length(try_variant_get(v, '$.nodes[0].name', 'string')) AS n").first()["n"] == 200_001
+
+
+def test_repair_is_linear_in_hostile_answers(spark):
+    rows = [(str(i), r, "t") for i, r in enumerate(["{" * 20_000, '{"' * 20_000, '"' * 20_001, "{" + '\\"' * 20_001 + "}", '{"' + "a " * 20_000 + "\\}", "{" * 9_000 + "}" * 9_000, "", None])]
+    df = spark.createDataFrame(rows, "claim_id string, response string, source_text string")
+    assert X.parse_responses(df).filter("v IS NOT NULL").count() == 0
+
+
 def test_reports(spark):
     a = spark.createDataFrame([(1, "word " * 40, "false", "because", "short", None)], "analysis_id long, input_text string, overall_verdict string, verdict_explanation string, summary_for_users string, recommendation string")
     c = spark.createDataFrame([(1, 0, "x" * 70, "myth", 0.95, ["t1", "t2", "t3", "t4"], [])],
