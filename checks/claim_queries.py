@@ -628,41 +628,42 @@ def a8(spark, d):
     return out(n, "node").unionByName(out(r, "rel"))
 
 
-_SIDES = """p AS (SELECT * FROM {t} WHERE run_id = 0), t AS (SELECT * FROM {t} WHERE run_id = 1)"""
-
-
 def _rates_sql(src: str, key: str, prefix: str) -> str:
-    return f"""{prefix}k AS (SELECT claim_id, {key} AS key, max((run_id = 0)::INT) AS p, max((run_id = 1)::INT) AS t FROM {src} WHERE run_id < 2 GROUP BY 1, 2),
+    return f"""{prefix}k AS (SELECT claim_id, key, max(p) AS p, max(t) AS t FROM (SELECT claim_id || '/' || run_id AS claim_id, {key} AS key, 1 AS p, 0 AS t FROM {src}
+      UNION ALL SELECT claim_id || '/' || ((run_id + 2) % 3), {key}, 0, 1 FROM {src}) GROUP BY 1, 2),
     {prefix}c AS (SELECT claim_id, sum(p * t) AS tp, sum(p * (1 - t)) AS fp, sum((1 - p) * t) AS fn FROM {prefix}k GROUP BY 1),
     {prefix} AS (SELECT claim_id, pr, re, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1, CASE WHEN tp + fp > 0 THEN fp / (tp + fp)::DOUBLE ELSE 0 END AS h FROM (
       SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END AS re FROM {prefix}c))"""
 
 
+def _run_pairs(df):
+    """Both sides of every run against the next one, the last against the first: claim ids become ``claim/run``."""
+    mark = lambda run: df.withColumn("claim_id", I.sf(F.col("claim_id"), "/", run.cast("string")))
+    return mark(F.col("run_id")), mark((F.col("run_id") + 2) % 3)
+
+
 _NK, _RK = "node_type || ':' || lower(name)", "lower(source_name) || ':' || relation_type || ':' || lower(target_name)"
 
 
 @query("a9_extraction_metrics", _with(("run_nodes", "run_rels"), _rates_sql("run_nodes", _NK, "nn") + ",\n" + _rates_sql("run_rels", _RK, "rr"), """SELECT n.claim_id, round(n.pr, 6) AS node_precision, round(n.re, 6) AS node_recall, round(n.f1, 6) AS node_f1, round(n.h, 6) AS hallucination_rate,
     round(r.pr, 6) AS relationship_precision, round(r.re, 6) AS relationship_recall, round(r.f1, 6) AS relationship_f1, round((n.f1 + r.f1) / 2, 6) AS overall_f1 FROM nn n JOIN rr r ON r.claim_id = n.claim_id"""))
 def a9(spark, d):
-    n, r = I.run_nodes(spark, d), I.run_rels(spark, d)
-    run = lambda df, i: df.filter(F.col("run_id") == i)
-    m = Q.extraction_metrics(run(n, 0), run(r, 0), run(n, 1), run(r, 1))
+    (pn, tn), (pr, tr) = _run_pairs(I.run_nodes(spark, d)), _run_pairs(I.run_rels(spark, d))
+    m = Q.extraction_metrics(pn, pr, tn, tr)
     return m.select("claim_id", *[r6(F.col(c), c) for c in m.columns if c != "claim_id"])
 
 
 @query("u2_key_sets", _with(("run_nodes", "run_rels"), _rates_sql("run_nodes", _NK, "nn"), "SELECT claim_id, key, CASE WHEN p * t = 1 THEN 'tp' WHEN p = 1 THEN 'fp' ELSE 'fn' END AS side FROM nnk"))
 def u2(spark, d):
-    n = I.run_nodes(spark, d)
-    return Q.key_sets(n.filter("run_id = 0"), n.filter("run_id = 1"), Q.node_key())
+    return Q.key_sets(*_run_pairs(I.run_nodes(spark, d)), Q.node_key())
 
 
-@query("j20_diff_extractions", _with(("run_nodes",), "f AS (SELECT claim_id, run_id, " + _NK + " AS key, arg_min(grade, ordinal) AS grade, arg_min(name, ordinal) AS name FROM run_nodes WHERE run_id < 2 GROUP BY 1, 2, 3)", """SELECT coalesce(a.claim_id, b.claim_id) AS claim_id, coalesce(a.key, b.key) AS key,
+@query("j20_diff_extractions", _with(("run_nodes",), "f AS (SELECT claim_id, run_id, " + _NK + " AS key, arg_min(grade, ordinal) AS grade, arg_min(name, ordinal) AS name FROM run_nodes GROUP BY 1, 2, 3)", """SELECT coalesce(a.claim_id, b.claim_id) AS claim_id, coalesce(a.key, b.key) AS key,
     CASE WHEN b.key IS NULL THEN 'only_left' WHEN a.key IS NULL THEN 'only_right' WHEN a.grade <> b.grade OR a.name <> b.name THEN 'conflict' ELSE 'agreement' END AS outcome,
     CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN concat_ws(',', CASE WHEN a.grade <> b.grade THEN 'grade' END, CASE WHEN a.name <> b.name THEN 'name' END) ELSE '' END AS differing
-    FROM (SELECT * FROM f WHERE run_id = 0) a FULL JOIN (SELECT * FROM f WHERE run_id = 1) b ON a.claim_id = b.claim_id AND a.key = b.key"""))
+    FROM (SELECT * REPLACE (claim_id || '/' || run_id AS claim_id) FROM f) a FULL JOIN (SELECT * REPLACE (claim_id || '/' || ((run_id + 2) % 3) AS claim_id) FROM f) b ON a.claim_id = b.claim_id AND a.key = b.key"""))
 def j20(spark, d):
-    n = I.run_nodes(spark, d)
-    x = Q.diff_extractions(n.filter("run_id = 0"), n.filter("run_id = 1"), ["grade", "name"])
+    x = Q.diff_extractions(*_run_pairs(I.run_nodes(spark, d)), ["grade", "name"])
     return x.select("claim_id", "key", "outcome", F.array_join("differing", ",").alias("differing"))
 
 
@@ -791,6 +792,16 @@ def w7(spark, d):
     return K.page(I.kb_facts(spark, d), ["id"], 200, 100).select("id", "claim")
 
 
+@query("w7_stored_pages", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 200 OFFSET 1000")
+def w7_stored(spark, d):
+    """A page by its offset and the next one by its cursor."""
+    order = ["o_totalprice", "o_orderkey"]
+    pages = K.store_pages(I.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), order)
+    first = pages.read(1000, 100)
+    last = first.orderBy(*[F.desc(c) for c in order]).first()
+    return first.unionByName(K.page_after(pages.rows, order, [last[c] for c in order], 100)) if last else first
+
+
 @query("s4_latest_facts", "SELECT 'u' || user_id AS id, arg_max(event_type, event_id) AS claim, max(event_id) % 2 = 0 AS is_true FROM events GROUP BY user_id")
 def s4(spark, d):
     from claimspark.sources.files import latest_facts

@@ -481,3 +481,27 @@ def x5s(spark, d):
         return _drain(J.stream_reuse(_source(spark, _landed(spark, requests, "requests", "ts"), 1000))).select("request_id", "hit")
     finally:
         spark.conf.set(setting, before)
+
+
+# ---- a source of one's own ---------------------------------------------------------------------
+def _catalogue(raw: DataFrame) -> DataFrame:
+    """Payloads of a parts catalogue as authority records; one without a number is no record."""
+    v = F.try_parse_json("payload")
+    text = lambda path: F.try_variant_get(v, path, "string")
+    return raw.select(text("$.no").alias("authority_id"), F.lit("catalogue").alias("source"), text("$.label").alias("name"),
+                      F.coalesce(F.try_variant_get(v, "$.also", "array<string>"), F.array().cast("array<string>")).alias("name_variants"),
+                      F.lit("Organization").alias("entity_type"), "ordinal").filter(F.col("authority_id").isNotNull())
+
+
+@query("e1_plugged_source", """WITH rec AS (SELECT p_partkey AS ordinal, 'C' || p_partkey AS authority_id, p_name AS name, p_brand AS variant FROM part WHERE p_partkey % 7 <> 0)
+    SELECT 'record' AS what, authority_id, name, variant FROM rec UNION ALL SELECT 'hit', authority_id, name, variant FROM (SELECT * FROM rec WHERE contains(lower(variant), 'brand#1') OR contains(lower(name), 'brand#1') ORDER BY ordinal LIMIT 25)
+    UNION ALL SELECT 'by id', authority_id, name, variant FROM rec WHERE authority_id = 'C12'""")
+def e1(spark, d):
+    """A source that is registered under a name: all its records, a search in them and one by its id."""
+    k = F.col("p_partkey")
+    raw = I.table(spark, d, "part").select(k.alias("ordinal"), js('{"label": "', F.col("p_name"), '", "also": ["', F.col("p_brand"), '"]', F.when(k % 7 == 0, "").otherwise(js(', "no": "C', k.cast("string"), '"')), "}").alias("payload"))
+    P.register_source("catalogue", _catalogue)
+    records = P.ingest("catalogue", raw)
+    out = lambda df, what: df.select(F.lit(what).alias("what"), "authority_id", "name", F.get("name_variants", F.lit(0)).alias("variant"))
+    return (out(records, "record").unionByName(out(P.search_records(records, "Brand#1", "Organization", 25), "hit"))
+            .unionByName(out(P.get_records(records, "C12"), "by id")))

@@ -17,6 +17,7 @@ from claimspark.operators import propaganda as P
 from claimspark.operators import search as R
 from claimspark.plans import analyze as A
 from claimspark.plans import factcheck as C
+from claimspark.session import bounded_broadcast
 from claimspark.sources import seeds
 
 
@@ -564,3 +565,37 @@ def f27(spark, d):
 
     v = feat.with_vector(X.with_text_features(I.docs(spark, d)), feat.TEXT_VECTOR).select("doc_id", vector_to_array("features").alias("v"))
     return v.select("doc_id", *[r6(F.col("v")[i], f"v{i}") for i in (0, 1, 2, 9, 25, 26, 27)], F.size("v").alias("size"))
+
+
+# ---- replaced and seeded word lists ------------------------------------------------------------
+_OWN_PATTERNS = (("hype", 0.9, "Strong words.", [r"\b(everything|never)\b", r"\b(king|nation)\b"]),
+                 ("proof", 1.0, "Appeals to proof.", [r"\b(studies show|according to)\b"]))
+_OWN_NARRATIVES = {"war": ["battle", "lost", "victims"], "sea": ["columbus", "earth", "round"]}
+_OWN_SQL = ", ".join("greatest(NULL, " + ", ".join(_conf_sql(f"len(regexp_extract_all(low, {I.quoted(r)}))", w) for r in rs) + f") AS {t}" for t, w, _, rs in _OWN_PATTERNS)
+_OWN_STORIES = ", ".join("CASE WHEN " + " + ".join(f"contains(low, {I.quoted(k)})::INT" for k in ks) + f" >= 2 THEN {I.quoted(n)} END" for n, ks in _OWN_NARRATIVES.items())
+
+
+@query("e3_own_lexicons", f"""SELECT doc_id, hype, proof, array_to_string(stories, ',') AS narratives, round(CASE WHEN n > 0 THEN least(1, (coalesce(hype, 0) + coalesce(proof, 0)) / n + n * 0.1::DOUBLE + len(stories) * 0.1::DOUBLE) ELSE 0 END, 3)::DOUBLE AS propaganda_score
+    FROM (SELECT *, (hype IS NOT NULL)::INT + (proof IS NOT NULL)::INT AS n FROM (SELECT doc_id, {_OWN_SQL}, list_filter([{_OWN_STORIES}], lambda x: x IS NOT NULL) AS stories FROM (SELECT doc_id, lower(text) AS low FROM docs)))""", ("docs",))
+def e3(spark, d):
+    p = P.with_propaganda(I.docs(spark, d), patterns=_OWN_PATTERNS, narratives=_OWN_NARRATIVES).withColumn("m", F.map_from_entries("techniques"))
+    return p.select("doc_id", F.col("m")["hype"].alias("hype"), F.col("m")["proof"].alias("proof"), F.array_join("narratives", ",").alias("narratives"), "propaganda_score")
+
+
+_SEED_WORDS = ([("myth", m[0], w) for m in seeds._MYTHS for w in m[10]] + [("narrative", n[0], w) for n in seeds._NARRATIVES for w in n[5]]
+               + [("technology", t, t.lower()) for t in L.TECHNOLOGY_DATES])
+
+
+@query("s18_seed_mentions", f"""WITH seed(kind, id, word) AS (VALUES {', '.join(f"({I.quoted(a)}, {I.quoted(b)}, {I.quoted(c)})" for a, b, c in _SEED_WORDS)}),
+    words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-zäöüß]+')) AS word FROM (SELECT doc_id, text || ' ' || ({I.sql_list(I.PHRASES)})[doc_id % {len(I.PHRASES)} + 1] AS text FROM documents))
+    SELECT kind, id, count(DISTINCT doc_id) AS n_docs FROM seed LEFT JOIN words USING (word) GROUP BY 1, 2""")
+def s18(spark, d):
+    """How many texts name each seeded myth, narrative and technology by one of its words."""
+    t = seeds.seed_tables(spark)
+    word = lambda df, kind, ident, w: df.select(F.lit(kind).alias("kind"), F.col(ident).alias("id"), w.alias("word"))
+    seeded = (word(t["myths"], "myth", "id", F.explode("keywords")).unionByName(word(t["narratives"], "narrative", "id", F.explode("keywords")))
+              .unionByName(word(t["invention_dates"], "technology", "technology", F.lower("technology"))))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zäöüß]+"), F.lit(0)))
+    hits = I.docs(spark, d).select("doc_id", F.explode(found).alias("word")).join(bounded_broadcast(seeded, 100_000), "word")
+    n = hits.groupBy("kind", "id").agg(F.count_distinct("doc_id").alias("n_docs"))
+    return seeded.select("kind", "id").distinct().join(n, ["kind", "id"], "left").select("kind", "id", F.coalesce("n_docs", F.lit(0)).cast("bigint").alias("n_docs"))

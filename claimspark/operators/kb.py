@@ -5,12 +5,15 @@ facts: ``id, claim, is_true, explanation, source, claim_type, entities array<str
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimspark import lexicons as L
 from claimspark.functions.names import stable_id
 from claimspark.functions.text import guess_category, guess_era
+from claimspark.session import shared_scratch
 
 FACT_COLUMNS = ["id", "claim", "is_true", "explanation", "source", "claim_type", "entities", "confidence"]
 _LETTERS4 = r"(?<![\p{L}\p{N}_])[a-zäöüß]{4,}(?![\p{L}\p{N}_])"
@@ -254,5 +257,54 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+@dataclass(frozen=True)
+class Pages:
+    """Rows stored in ranges of a total order, with the number of rows of each range."""
+
+    rows: DataFrame
+    order: list[str]
+    counts: list[tuple[int, int]]
+
+    def ranges(self, offset: int, limit: int) -> tuple[list[int], int]:
+        """The ranges that hold rows [offset, offset + limit) and the number of rows before them."""
+        touched, before, seen = [], 0, 0
+        for part, n in self.counts:
+            if seen + n <= offset:
+                before = seen + n
+            elif seen < offset + limit:
+                touched.append(part)
+            seen += n
+        return touched, before
+
+    def read(self, offset: int, limit: int) -> DataFrame:
+        """Rows [offset, offset + limit): only the files of their ranges are read."""
+        touched, before = self.ranges(offset, limit)
+        found = self.rows.filter(F.col("_part").isin(touched)) if touched else self.rows.filter(F.lit(False))
+        return page(found, self.order, offset - before, limit).drop("_part")
+
+
+def store_pages(df: DataFrame, order: list[str], rows_per_part: int = 1_000_000, max_parts: int = 20_000) -> Pages:
+    """Write rows once by ranges of ``order`` (column names, ascending, null first), so that deep pages cost what shallow ones do.
+
+    ``order`` must be total. Beyond ``rows_per_part * max_parts`` rows the ranges grow instead of their number: the driver
+    holds ``max_parts`` counts at most.
+    """
+    parts = max(1, min(max_parts, -(-df.count() // rows_per_part)))
+    path = shared_scratch(df.sparkSession, "pages")
+    df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(path)
+    rows = df.sparkSession.read.schema(df.schema.add("_part", "integer")).parquet(path)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
+    return Pages(rows, list(order), [(r["_part"], r["n"]) for r in counts])
+
+
+def page_after(df: DataFrame, order: list[str], last: list, limit: int) -> DataFrame:
+    """The ``limit`` rows behind the row whose order values are ``last``; the bound on the first column reaches the scan."""
+    key = F.struct(*order)
+    behind = key > F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, last)])
+    if last[0] is not None:
+        behind &= F.col(order[0]) >= F.lit(last[0])
+    return df.filter(behind).orderBy(*order).limit(limit).drop("_part")
+
+
 def misconceptions_table(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "claim string, truth string, category string")

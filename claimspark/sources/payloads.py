@@ -331,3 +331,8 @@ def search_records(records: DataFrame, query: str, entity_type: str | None = Non
     hit = F.contains(F.lower("name"), q) | F.exists("name_variants", lambda n: F.contains(F.lower(n), q))
     df = records.filter(hit)
     return (df.filter(F.col("entity_type") == entity_type) if entity_type else df).orderBy("ordinal").limit(limit)
+
+
+def get_records(records: DataFrame, *authority_ids: str) -> DataFrame:
+    """The records with these ids, of all sources."""
+    return records.filter(F.col("authority_id").isin(list(authority_ids)))

@@ -264,3 +264,23 @@ def test_rhetoric_time_is_linear(spark):
         return time.perf_counter() - start
 
     assert seconds(20_000) < 8 * seconds(5_000) + 1
+
+
+def test_stored_pages_equal_a_sort(spark, capsys):
+    rows = [(i, None if i % 50 == 0 else i % 7) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, v int").repartition(5)
+    order = ["v", "id"]
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    pages = K.store_pages(df, order, rows_per_part=90)
+    assert sum(n for _, n in pages.counts) == 1000 and len(pages.counts) > 5
+    get = lambda x: [tuple(r) for r in x.orderBy(*order).collect()]
+    for offset, limit in [(0, 10), (85, 20), (15, 250), (990, 50), (1000, 5), (5000, 5), (0, 1000)]:
+        assert get(pages.read(offset, limit)) == want[offset:offset + limit], (offset, limit)
+    for i in (0, 19, 20, 500, 999):
+        assert get(K.page_after(pages.rows, order, [want[i][1], want[i][0]], 30)) == want[i + 1:i + 31], i
+    assert len(pages.ranges(700, 10)[0]) <= 2 < len(pages.counts)
+    pages.read(700, 10).explain("formatted")
+    filters = [line for line in capsys.readouterr().out.splitlines() if line.startswith("PartitionFilters")]
+    assert filters and all("_part" in line for line in filters)
+    empty = K.store_pages(df.limit(0), order)
+    assert empty.counts == [] and empty.read(0, 5).count() == 0
