@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for numbers and dates in texts, by keyed Feistel permutations.
 
-Found and validated: payment card numbers (13 to 19 digits, Luhn check), North American phone numbers (area and
-exchange 200 to 999), IPv4 addresses (octets to 255), ISO dates (real days from 1900-01-01 to 2099-12-31), and mail
+Found and validated: payment card numbers (13 to 19 digits, Luhn check; with other digits beside them the longest groups that
+pass, the first of equals; one in ten of the longer runs passes by chance and is then taken), phone numbers written the North American way (exchange 200 to 999; areas from 200 and
+areas below, which no one is given, are permuted apart), IPv4 addresses (octets to 255), ISO dates (real days from 1900-01-01 to 2099-12-31), and mail
 addresses. Each value is mapped within its own format: a card keeps its length, separators and first digit and
 gets a new valid check digit; a phone number keeps its punctuation; an address stays an address; a date
 stays a real date. The map is a permutation of the format for every key, so equal values stay linked across documents
@@ -26,10 +27,10 @@ ROUNDS = 8
 # the kinds in the order in which they are tried, all without capturing groups
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\w.])(?:\+1[ .\-]?)?\(?[2-9][0-9]{2}\)?[ .\-][2-9][0-9]{2}[ .\-][0-9]{4}(?![\w])",
+    "phone": r"(?<![\w.])(?:\+1[ .\-]?)?\(?[0-9]{3}\)?[ .\-][2-9][0-9]{2}[ .\-][0-9]{4}(?![\w])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
     "date": r"(?<![\w\-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![\w]|-[0-9])",
-    "card": r"(?<![\w.])[0-9](?:[ \-]?[0-9]){12,18}(?![\w])",
+    "card": r"(?<![\w.])[0-9](?:[ \-]?[0-9]){12,18}(?![\w]|\.[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DAYS, DAY_A, DAY_B = 73049, 319, 229
@@ -79,24 +80,44 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(chars, F.lit(0), lambda a, x: a + x)
 
 
+def _card_span(token: Column) -> Column:
+    """struct(n, s, e): negated digit count, first and last place of the longest run of whole groups that passes the check, or null."""
+    places, blank = F.sequence(F.lit(1), F.length(token)), lambda p: F.substr(token, p, F.lit(1)).rlike("[ \\-]")
+    starts = F.filter(places, lambda p: F.when(p == 1, True).otherwise(blank(p - 1)))
+    ends = F.filter(places, lambda p: F.when(p == F.length(token), True).otherwise(blank(p + 1)))
+    part = lambda s, e: _digits(F.substr(token, s, e - s + 1))
+    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(ends, lambda e: e - s >= 12), lambda e: F.struct(
+        (-F.length(part(s, e))).alias("n"), s.alias("s"), e.alias("e")))))
+    return F.array_min(F.filter(spans, lambda x: F.when(x["n"].between(-19, -13), luhn_sum(part(x["s"], x["e"])) % 10 == 0).otherwise(False)))
+
+
 def _card(token: Column, key: str) -> Column:
-    digits = _digits(token)
-    inner = F.length(digits) - 2  # all but the first and the check digit
-    left = F.floor(inner / 2).cast("int")
-    right = (inner - left).cast("int")
     ten = lambda n: F.pow(F.lit(10.0), n).cast("bigint")
-    pair = feistel(F.substr(digits, F.lit(2), left), F.substr(digits, left + 2, right), ten(left), ten(right), key, "card")
-    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), _pad(pair["a"], left), _pad(pair["b"], right))
-    check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
-    return F.when(luhn_sum(digits) % 10 == 0, _refill(token, F.concat(body, check.cast("string")))).otherwise(token)
+
+    def swap(x: Column) -> Column:
+        found = F.substr(token, x["s"], x["e"] - x["s"] + 1)
+        digits = _digits(found)
+        inner = F.length(digits) - 2  # all but the first and the check digit
+        left = F.floor(inner / 2).cast("int")
+        right = (inner - left).cast("int")
+        pair = feistel(F.substr(digits, F.lit(2), left), F.substr(digits, left + 2, right), ten(left), ten(right), key, "card")
+        body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), _pad(pair["a"], left), _pad(pair["b"], right))
+        check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
+        return F.concat(F.substr(token, F.lit(1), x["s"] - 1), _refill(found, F.concat(body, check.cast("string"))), F.substr(token, x["e"] + 1))
+
+    # one element at most; as a lambda's variable it is worked out once
+    spans = F.filter(F.array(_card_span(token)), lambda x: x.isNotNull())
+    return F.coalesce(F.get(F.transform(spans, swap), F.lit(0)), token)
 
 
 def _phone(token: Column, key: str) -> Column:
     digits = _digits(token)
     prefix = F.substr(digits, F.lit(1), F.length(digits) - 10)
     part = lambda start, n: F.substr(digits, F.length(digits) - 10 + start, F.lit(n)).cast("bigint")
-    pair = feistel((part(1, 3) - 200) * 800 + part(4, 3) - 200, part(7, 4), 640000, 10000, key, "phone")
-    new = F.concat(prefix, (F.floor(pair["a"] / 800) + 200).cast("string"), (pair["a"] % 800 + 200).cast("string"), _pad(pair["b"], 4))
+    given = part(1, 3) >= 200
+    low, areas = F.when(given, 200).otherwise(0), F.when(given, 800).otherwise(200)
+    pair = feistel((part(1, 3) - low) * 800 + part(4, 3) - 200, part(7, 4), (areas * 800).cast("bigint"), 10000, key, "phone")
+    new = F.concat(prefix, _pad(F.floor(pair["a"] / 800) + low, 3), (pair["a"] % 800 + 200).cast("string"), _pad(pair["b"], 4))
     return _refill(token, new)
 
 

@@ -231,6 +231,25 @@ def test_pseudonyms_keep_the_format(pseudonyms):
     assert out[93]["text"] == f"{new[1]} and {new[6]} {new[6]}"
 
 
+def test_pseudonyms_of_cards_beside_digits_and_of_low_areas(spark):
+    card, ip = "4111 1111 1111 1111", "97.51.17.173"
+    plain = card.replace(" ", "")
+    texts = [card, ip, f"{card} 12", f"12 {plain}", f"{plain} {ip}", f"{card} 4539148803436467", f"1 {plain} 2 1", "4111 1111 1111 1112 12", f"{plain}.",
+             "+1 (017) 555-7713", "(000) 200-0000", "199-999-9999", "017 155 7713", "(415) 555-2671"]
+    got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    new, new_ip = got[0], got[1]
+    assert new != card and new_ip != ip and luhn(new.replace(" ", ""))
+    bare = new.replace(" ", "")
+    assert got[2] == f"{new} 12" and got[3] == f"12 {bare}" and got[4] == f"{bare} {new_ip}" and got[6] == f"1 {bare} 2 1" and got[8] == f"{bare}."
+    assert got[5].startswith(new + " ") and got[5][20:] != "4539148803436467" and luhn(got[5][20:])
+    assert got[7] == texts[7] and got[12] == texts[12]  # no card, no exchange
+    for old, mapped in zip(texts[9:12], got[9:12]):
+        shape = lambda x: "".join("9" if c.isdigit() else c for c in x)
+        area = int(mapped.removeprefix("+1 ").lstrip("(")[:3])
+        assert mapped != old and shape(mapped) == shape(old) and area < 200, (old, mapped)
+    assert int(got[13][1:4]) >= 200 and got[13] != texts[13]
+
+
 def test_feistel_is_a_permutation(spark):
     d = spark.range(30).select(*[F.col("id").alias("a")]).crossJoin(spark.range(7).select(F.col("id").alias("b")))
     got = d.select(pii.feistel(F.col("a"), F.col("b"), 30, 7, "k", "t").alias("p")).select("p.*").distinct()
