@@ -582,6 +582,36 @@ def e3(spark, d):
     return p.select("doc_id", F.col("m")["hype"].alias("hype"), F.col("m")["proof"].alias("proof"), F.array_join("narratives", ",").alias("narratives"), "propaganda_score")
 
 
+_FIRST = "regexp_extract(low, {}, 0)"
+
+
+def _best_sql(technique: str, weight: float, regexes: list[str]) -> str:
+    """The best pattern's words; of equals the first."""
+    conf = [_conf_sql(f"len(regexp_extract_all(low, {I.quoted(r)}))", weight) for r in regexes]
+    cases = " ".join(f"WHEN coalesce({c} >= greatest(NULL, {', '.join(conf)}), false) THEN {_FIRST.format(I.quoted(r))}" for c, r in zip(conf, regexes))
+    return f"SELECT doc_id, '{technique}' AS technique, greatest(NULL, {', '.join(conf)}) AS confidence, 'Found pattern: ' || CASE {cases} END AS evidence FROM (SELECT doc_id, lower(text) AS low FROM docs)"
+
+
+@query("f21_evidence", "SELECT e.*, explanation FROM ("
+       + " UNION ALL ".join(_best_sql(t, w, rs) for t, w, _, rs in _OWN_PATTERNS) + ") e JOIN (VALUES " + ", ".join(f"({I.quoted(t)}, {I.quoted(x)})" for t, _, x, _ in _OWN_PATTERNS)
+       + ") x(technique, explanation) USING (technique) WHERE confidence IS NOT NULL", ("docs",))
+def f21_evidence(spark, d):
+    """The words that each technique was found by."""
+    found = I.docs(spark, d).select("doc_id", F.explode(P.evidence(F.lower("text"), _OWN_PATTERNS)).alias("e"))
+    return found.select("doc_id", "e.technique", "e.confidence", "e.evidence", "e.explanation")
+
+
+@query("a21_summaries", f"""SELECT doc_id, CASE WHEN raw >= 0.5 THEN 'This text shows signs of propaganda (' || CASE WHEN raw >= 0.8::DOUBLE THEN 'critical' WHEN raw >= 0.6::DOUBLE THEN 'high' ELSE 'medium' END || ' risk). Detected techniques: '
+      || concat_ws(', ', CASE WHEN hype IS NOT NULL THEN 'hype' END, CASE WHEN proof IS NOT NULL THEN 'proof' END) || '.' || CASE WHEN len(stories) > 0 THEN ' Matches known narrative patterns: ' || stories[1] || '.' ELSE '' END
+      ELSE 'No significant propaganda patterns detected.' END AS summary, CASE WHEN raw >= 0.5 THEN 'This content should be fact-checked against authoritative sources. Be cautious of emotional manipulation and verify all claims independently.'
+      ELSE 'Standard fact-checking procedures apply.' END AS recommendation
+    FROM (SELECT *, CASE WHEN n > 0 THEN least(1, (coalesce(hype, 0) + coalesce(proof, 0)) / n + n * 0.1::DOUBLE + len(stories) * 0.1::DOUBLE) ELSE 0 END AS raw
+    FROM (SELECT *, (hype IS NOT NULL)::INT + (proof IS NOT NULL)::INT AS n FROM (SELECT doc_id, {_OWN_SQL}, list_filter([{_OWN_STORIES}], lambda x: x IS NOT NULL) AS stories FROM (SELECT doc_id, lower(text) AS low FROM docs))))""", ("docs",))
+def a21_summaries(spark, d):
+    p = P.with_propaganda(I.docs(spark, d), patterns=_OWN_PATTERNS, narratives=_OWN_NARRATIVES)
+    return p.select("doc_id", P.propaganda_summary().alias("summary"), P.recommendation(F.col("is_propaganda")).alias("recommendation"))
+
+
 _SEED_WORDS = ([("myth", m[0], w) for m in seeds._MYTHS for w in m[10]] + [("narrative", n[0], w) for n in seeds._NARRATIVES for w in n[5]]
                + [("technology", t, t.lower()) for t in L.TECHNOLOGY_DATES])
 
