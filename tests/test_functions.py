@@ -113,3 +113,19 @@ def test_propaganda_score_is_zero_or_flagged(spark, sf_dir):
     scores = with_propaganda(docs(spark, sf_dir)).select("propaganda_score", "is_propaganda").collect()
     assert all(r["propaganda_score"] == 0 or (r["propaganda_score"] >= 0.58 and r["is_propaganda"]) for r in scores)
     assert any(r["propaganda_score"] > 0 for r in scores)
+
+
+def test_thresholds_ignore_the_last_bits_of_sums(spark):
+    # 0.5 + 0.15 + 0.15 + 0.1 + 0.1 - 0.2 - 0.1 is 0.7000000000000001 in doubles
+    df = spark.createDataFrame([("Arthur Wellesley, in 1815, in the battle of the city London: some say always.",)], "text string")
+    row = X.with_text_features(df).withColumn("rule", X.rule_score_text()).first()
+    assert row["uses_vague_language"] and row["uses_absolute_language"] and row["has_dates"] and row["mentions_location"]
+    assert row["specificity_score"] == 0.7
+    assert row["rule"] == pytest.approx(0.5 - 0.1 - 0.05 - 0.15)
+
+
+def test_credibility_band_at_its_edge(spark):
+    # 0.95 * 0.3 + 0.45 * 0.3 + 0.2 * 0.4 is 0.49999999999999994 in doubles
+    score, band = X.credibility_overall(F.col("c"), F.col("p"), F.col("v"))
+    row = spark.createDataFrame([(0.95, 0.55, 0.2)], "c double, p double, v double").select(score.alias("s"), band.alias("band")).first()
+    assert row["s"] == 0.5 and row["band"] == "MODERATE CREDIBILITY"
