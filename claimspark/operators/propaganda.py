@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import lexicons as L
+from claimspark.functions.text import steady
 from claimspark.functions.tokens import contains_any, count_contained
 
 # Unicode classes and word edges; "." stops at line feeds only.
@@ -159,9 +160,9 @@ def with_propaganda(texts: DataFrame, text: str = "text", patterns=tuple(L.TECHN
     n, m = F.size("techniques"), F.size("narratives")
     mean = F.aggregate("techniques", F.lit(0.0), lambda acc, t: acc + t["confidence"]) / n
     raw = F.when(n > 0, F.least(F.lit(1.0), mean + F.least(F.lit(0.3), n * 0.1) + F.least(F.lit(0.2), m * 0.1))).otherwise(0.0)
-    scored = found.withColumn("_raw", raw)
+    scored = found.withColumn("_raw", steady(raw))
     return scored.withColumns({
-        "propaganda_score": F.round(F.round("_raw", 9), 3),
+        "propaganda_score": F.round("_raw", 3),
         "is_propaganda": F.col("_raw") >= 0.5,
         "risk_level": risk_level(F.col("_raw")),
     }).drop("_raw")

@@ -129,3 +129,10 @@ def test_credibility_band_at_its_edge(spark):
     score, band = X.credibility_overall(F.col("c"), F.col("p"), F.col("v"))
     row = spark.createDataFrame([(0.95, 0.55, 0.2)], "c double, p double, v double").select(score.alias("s"), band.alias("band")).first()
     assert row["s"] == 0.5 and row["band"] == "MODERATE CREDIBILITY"
+
+
+def test_risk_level_at_its_edge(spark):
+    # one technique of weight 1.0 found twice (0.7) and 0.1 for the technique: 0.7999999999999999 in doubles
+    row = with_propaganda(spark.createDataFrame([("you hate what they hate",)], "text string"),
+                          patterns=(("loaded_language", 1.0, "", (r"\bhate\b",)),)).first()
+    assert row["propaganda_score"] == 0.8 and row["risk_level"] == "critical"
