@@ -11,6 +11,7 @@ from claimspark.operators.skew import hot_keys, skew_join
 from claimspark.operators.textjoin import containment_pairs
 
 CLAIM_TYPES = ["geographic", "biographical", "historical", "scientific", "quote", "other"]
+SUM_UNITS = float(2 ** 56)  # a power of two, so that the product loses no bit of a confidence from 1/16 to 127
 
 
 def _lookup(pairs: dict, key):
@@ -63,12 +64,17 @@ def weighted_votes(votes: DataFrame) -> DataFrame:
 
 
 def merge_votes(claims: DataFrame, votes: DataFrame) -> DataFrame:
-    """One verdict per claim: summed confidence for true against false and misleading, ties are false."""
+    """One verdict per claim: summed confidence for true against false and misleading, ties are false.
+
+    The confidences are summed as whole numbers of ``1 / SUM_UNITS`` and rounded once, which is exact in any order: the
+    same votes give the same verdict however they are dealt over tasks.
+    """
+    counted = lambda *verdicts: F.when(F.col("verdict").isin(*verdicts), F.col("confidence")).otherwise(0.0)
+    exact_sum = lambda c: F.sum((c * SUM_UNITS).cast("bigint").cast("decimal(20,0)")).cast("double") / SUM_UNITS
     told = (F.coalesce("explanation", F.lit("")) != "") & (F.col("confidence") > 0.5)
     last = F.when(told, F.col("ordinal"))
     merged = votes.groupBy("claim_id").agg(
-        F.sum(F.when(F.col("verdict") == "true", F.col("confidence")).otherwise(0.0)).alias("_t"),
-        F.sum(F.when(F.col("verdict").isin("false", "misleading"), F.col("confidence")).otherwise(0.0)).alias("_f"),
+        exact_sum(counted("true")).alias("_t"), exact_sum(counted("false", "misleading")).alias("_f"),
         F.count(F.lit(1)).alias("n_votes"),
         F.max_by(F.struct("explanation", "correction"), last).alias("_last"),
         F.max_by("claim_type", F.when(told & F.col("claim_type").isin(CLAIM_TYPES), F.col("ordinal"))).alias("_type"))

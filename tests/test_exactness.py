@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimspark.functions.tokens import words
 from claimspark.operators import batch as B
+from claimspark.operators import evidence as E
 from claimspark.operators import graph as G
 from claimspark.operators import kb as K
 from claimspark.operators import myths as M
@@ -284,3 +285,15 @@ def test_stored_pages_equal_a_sort(spark, capsys):
     assert filters and all("_part" in line for line in filters)
     empty = K.store_pages(df.limit(0), order)
     assert empty.counts == [] and empty.read(0, 5).count() == 0
+
+
+def test_vote_sums_do_not_depend_on_their_order(spark):
+    from itertools import permutations
+
+    # 0.1 + 0.2 + 0.3 is 0.6 or 0.6000000000000001 in doubles, by the order of its terms
+    rows = [(f"c{i}", j, v, c) for i, p in enumerate(permutations([0.1, 0.2, 0.3])) for j, (v, c) in enumerate(
+        [("true", c) for c in p] + [("false", 0.6)])]
+    votes = spark.createDataFrame(rows, "claim_id string, ordinal int, verdict string, confidence double").withColumns(
+        {"explanation": F.lit(None).cast("string"), "correction": F.lit("c"), "claim_type": F.lit("other")}).coalesce(1)
+    got = E.merge_votes(votes.select("claim_id").distinct(), votes).collect()
+    assert len(got) == 6 and {r["verdict"] for r in got} == {"false"}
