@@ -297,3 +297,17 @@ def test_vote_sums_do_not_depend_on_their_order(spark):
         {"explanation": F.lit(None).cast("string"), "correction": F.lit("c"), "claim_type": F.lit("other")}).coalesce(1)
     got = E.merge_votes(votes.select("claim_id").distinct(), votes).collect()
     assert len(got) == 6 and {r["verdict"] for r in got} == {"false"}
+
+
+def test_edit_pairs_of_names_with_codes(spark):
+    r = random.Random(4)
+    heads, codes = ["large ring", "old bolt", "small gizmo"], [f"{r.getrandbits(32):08x}" for _ in range(25)]
+    b = [f"{h} {c}" for h in heads for c in codes]
+    a = b[::2] + [x[:-1] for x in b[1::2]] + ["the " + x for x in b[::3]] + [x[::-1] for x in b[::5]] + [x.replace("a", "b") for x in b] + codes[:5]
+    pairs = TJ.edit_pairs(spark.createDataFrame([(x,) for x in a], "text string"), spark.createDataFrame([(x,) for x in b], "text string"), 0.8)
+    got = {(p["left_text"], p["right_text"]) for p in pairs.collect()}
+    assert got == {(x, y) for x in a for y in b if 1 - distance(x, y) / max(len(x), len(y)) >= 0.8}
+    # cheap bits are compared before the edit distance
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "levenshtein" in line]
+    assert joins and all(-1 < line.find("bit_count") < line.find("levenshtein") for line in joins)
