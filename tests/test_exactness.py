@@ -311,3 +311,11 @@ def test_edit_pairs_of_names_with_codes(spark):
     plan = pairs._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "levenshtein" in line]
     assert joins and all(-1 < line.find("bit_count") < line.find("levenshtein") for line in joins)
+
+
+def test_containment_of_texts_that_are_their_own_ids(spark):
+    hay, needles = random_words(8, 80), random_words(9, 50, low=1, high=5)
+    h = spark.createDataFrame([("p" if i % 2 else "q", x) for i, x in enumerate(hay)], "k string, t string")
+    n = spark.createDataFrame([(k, x) for k in "pq" for x in needles], "k string, s string")
+    rows = [(r["k"], r["t"], r["s"]) for r in TJ.containment_pairs(h, n, "t", "t", "s", "s", ["k"], short=True).collect()]
+    assert sorted(rows) == sorted(("p" if i % 2 else "q", x, y) for i, x in enumerate(hay) for y in needles if y in x)
