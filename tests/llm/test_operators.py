@@ -316,6 +316,40 @@ def test_passages_of_odd_rows(odd):
     assert set(got) == {(6, 5)} and passages.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_a_passage_between_others_that_hold_its_seeds(spark):
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    passage = text(70)
+    pieces = lambda: " ".join(" ".join(passage[i:i + 20] + text(40)) for i in rng.sample(range(0, 60, 6), 10))
+    whole = lambda: " ".join(text(20) + passage + text(20))
+    data = [(1, pieces()), (2, whole()), (3, pieces()), (4, pieces()), (5, whole()), (6, pieces())]
+    got = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string"), rest=True).collect()
+    assert [(r["doc_id"], r["partner_id"], r["n_words"], r["n_edits"]) for r in got] == [(5, 2, 70, 0)]
+
+
+def test_shared_seeds_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = np.unique(np.column_stack([rng.integers(0, 12, 300), rng.integers(0, 5, 300), rng.integers(0, 200, 300) << passages.BYTE_BITS]), axis=0)
+    rows = rows[~((rows[:, 0] == 7) & (rows[:, 1] > 0))]  # a seed of one document
+    want = []
+    for seed in range(12):
+        docs = sorted({d for s, d, _ in rows.tolist() if s == seed})
+        for earlier, doc in enumerate(docs if len(docs) > 1 else []):
+            at = [a for s, d, a in rows.tolist() if (s, d) == (seed, doc)]
+            runs = [[at[0]]]
+            for a in at[1:]:
+                runs[-1].append(a) if (a - runs[-1][-1]) >> passages.BYTE_BITS <= 13 else runs.append([a])
+            for run in runs:
+                want += [(seed, doc, a, 0, i, earlier) for i, a in enumerate(run)]
+                want += [(seed, doc, a, 1, i, earlier) for i, a in enumerate(run[::-1]) if len(run) > 1]
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in rows[i:i + size].T.copy()], names=["seed", "doc", "at"]) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in passages.shared_seeds(iter(batches), 13) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
 def test_chains_equal_the_quadratic_recurrence():
     rng = np.random.default_rng(0)
     for _ in range(30):
