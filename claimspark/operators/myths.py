@@ -118,13 +118,20 @@ def match_candidates(claims: DataFrame, prepared: DataFrame, min_score: float) -
     return inside.unionByName(around).unionByName(similar).distinct()
 
 
+def _first_of_equal(prepared: DataFrame) -> DataFrame:
+    """Of myths that are equal in all matched columns the one that wins their ties, so copies do not multiply the pairs."""
+    content = ["de", "en", "de_words", "en_words", "keywords"]
+    first = prepared.groupBy(*content, F.col("id").isNull().alias("_nameless")).agg(F.max(F.struct((-F.col("ordinal")).alias("neg"), "ordinal", "id")).alias("b"))
+    return first.select("b.id", "b.ordinal", *content)
+
+
 def _match_joined(claims: DataFrame, prepared: DataFrame, text: str, min_score: float) -> DataFrame:
     """Best myth per claim through equi-joins, and the two cases in which everything pairs with everything:
 
     an empty claim lies in every myth, so its best is one aggregate over the myths; a myth with an empty text or keyword
     lies in every claim, so those myths are scored as literals, block by block.
     """
-    prepared = checkpoint(prepared, "myths")
+    prepared = checkpoint(_first_of_equal(prepared), "myths")
     # One row per distinct text: repeated or null claim ids cannot mix up answers, and copies are matched once.
     base = claims.select(strip(F.lower(text)).alias("_c")).filter("_c IS NOT NULL").distinct()
     base = checkpoint(base.withColumns({"_cid": F.col("_c"), "_w": F.array_distinct(words(F.col("_c")))}), "claims")

@@ -319,3 +319,17 @@ def test_containment_of_texts_that_are_their_own_ids(spark):
     n = spark.createDataFrame([(k, x) for k in "pq" for x in needles], "k string, s string")
     rows = [(r["k"], r["t"], r["s"]) for r in TJ.containment_pairs(h, n, "t", "t", "s", "s", ["k"], short=True).collect()]
     assert sorted(rows) == sorted(("p" if i % 2 else "q", x, y) for i, x in enumerate(hay) for y in needles if y in x)
+
+
+def test_copies_of_a_myth_are_matched_once(spark):
+    from claimspark.operators import myths as M
+
+    rows = [(f"m{i}", i, ["horned helmets", "the horned helmets of vikings"][i % 2], None if i % 4 else "helmets", ["horned", "old"]) for i in range(40)]
+    rows.append((None, -1, "horned helmets", "helmets", ["horned", "old"]))
+    base = spark.createDataFrame(rows, "id string, ordinal long, claim string, claim_en string, keywords array<string>")
+    prepared = M._prepared(base)
+    assert M._first_of_equal(prepared).count() == 4
+    claims = spark.createDataFrame([("1", "Horned helmets"), ("2", "old news"), ("3", "the horned helmets of vikings"), ("4", ""), ("5", "none")], "claim_id string, text string")
+    base = base.filter("id IS NOT NULL")
+    got = {limit: sorted(map(tuple, M.match_myths(claims, base, inline_limit=limit).collect())) for limit in (0, 100)}
+    assert got[0] == got[100] and got[0][0][2] == "m0"
