@@ -99,3 +99,27 @@ def test_myths_of_repeated_and_null_ids(spark):
     pick = lambda df: sorted(((r["claim_id"], r["text"], r["myth_id"], r["myth_score"]) for r in df.collect()), key=repr)
     inline = pick(M.match_myths(claims, myths))
     assert len(inline) == len(rows) and inline == pick(M.match_myths(claims, myths, inline_limit=0))
+
+
+def test_few_row_groups_are_spread(spark, tmp_path):
+    """A file of one row group is cut into many splits by its bytes, of which one holds all rows."""
+    from claimspark.session import spread
+
+    path, cores = str(tmp_path / "one"), spark.sparkContext.defaultParallelism
+    spark.range(40_000).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).coalesce(1).write.parquet(path)
+    small = {"spark.sql.files.maxPartitionBytes": "65536", "spark.sql.files.openCostInBytes": "1024"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        table = spark.read.parquet(path)
+        sizes = lambda df: [n for n in df.rdd.glom().map(len).collect() if n]
+        assert table.rdd.getNumPartitions() >= cores and len(sizes(table)) == 1
+        found = sizes(spread(table))
+        assert sum(found) == 40_000 and max(found) <= 1.5 * 40_000 / cores
+        even = spark.read.parquet(path).repartition(2 * cores)
+        assert spread(even).rdd.getNumPartitions() == 2 * cores
+        assert spread(table.limit(0)).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
