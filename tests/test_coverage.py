@@ -5,6 +5,7 @@ import pathlib
 import re
 
 import pytest
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -63,3 +64,21 @@ def test_model_separates_and_rules_rule_without_it(spark):
     assert plain["confidence"] == plain["lr_score"] == 0.42
     with pytest.raises(ValueError):
         ML.train_confidence(examples.limit(10))
+
+
+def test_training_computes_its_examples_once(spark):
+    """Both fits read the examples several times; a row is computed once all the same."""
+    from pyspark.ml.linalg import Vectors
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(float(i % 2), float(i)) for i in range(60)]
+    counting = spark.createDataFrame(rows, "label double, x double").mapInPandas(counted, "label double, x double")
+    vector = F.udf(lambda a, b: Vectors.dense([a, b, 0.0, 0.0, 0.0, 0.0]), VectorUDT())
+    ML.train_confidence(counting.select(vector("label", "x").alias("features"), "label", F.lit(1.0).alias("weight")))
+    assert seen.value == 60
