@@ -13,6 +13,7 @@ from claimspark.operators.evidence import aggregate_sources, article_verdict, cr
 from claimspark.operators.ml import TEXT_WEIGHTS, score_confidence
 from claimspark.operators.myths import myth_analysis
 from claimspark.operators.propaganda import with_propaganda
+from claimspark.session import checkpoint
 
 # Texts of the three verdicts drawn from claim statuses.
 _EXPLAIN = {
@@ -27,6 +28,7 @@ def analyze_texts(texts: DataFrame, myths: DataFrame, statuses: DataFrame, **opt
     spoken = texts.withColumn("language", detect_language(F.col("text")))
     keep = ["claim_id", "language", "overall_verdict", "verdict_explanation", "summary_for_users", "recommendation", "myth_id"]
     known = myth_analysis(spoken, myths, **options).select(*keep, F.lit("claim").alias("input_type"), F.lit(1).cast("bigint").alias("claims_found"))
+    known = checkpoint(known, "known-myths")  # part of the result and what the rest is told by; matching is the costly step
     rest = spoken.join(known.select("claim_id"), "claim_id", "left_anti")
     verdicts = article_verdict(rest.select(F.col("claim_id").alias("article_id")),
                                statuses.withColumnRenamed("claim_id", "article_id")).withColumnRenamed("article_id", "claim_id")
