@@ -123,3 +123,26 @@ def test_few_row_groups_are_spread(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_keywords_shuffle_texts_and_not_words(spark):
+    """One shuffle of the texts; rows that share an id, or have none, still count together."""
+    from claimspark.operators import kb as K
+
+    rows = [(1, "alpha beta alpha gamma"), (1, "beta beta delta"), (None, "alpha alpha"), (None, "omega"), (2, None)]
+    found = K.top_keywords(spark.createDataFrame(rows, "id long, text string"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "keyword" not in plan[plan.index("Exchange "):]
+    assert sorted(((r["text_id"] or 0, r["rank"], r["keyword"], r["n"]) for r in found.collect())) == [
+        (0, 1, "alpha", 2), (0, 2, "omega", 1), (1, 1, "beta", 3), (1, 2, "alpha", 2), (1, 3, "delta", 1)]
+
+
+def test_known_myths_are_matched_once(spark):
+    """The analysis of known myths is stored, so the result's plan does not match the texts again."""
+    from claimspark.plans import analyze as A
+
+    texts = spark.createDataFrame([("a", "Napoleon war klein"), ("b", "no remark"), ("c", None)], "claim_id string, text string")
+    statuses = spark.createDataFrame([("b", "confirmed")], "claim_id string, fact_status string")
+    out = A.analyze_texts(texts, seeds.myths(spark), statuses)
+    assert "array_max" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["claim_id"] for r in out.collect()) == ["a", "b", "c"]
