@@ -189,11 +189,16 @@ def t1(spark, d):
     return C.timeline(I.chron_nodes(spark, d)).select("claim_id", "date", "entity", "event")
 
 
+def _chron(spark, d):
+    """Nodes and relationships of the orders, stored first as the operators read them several times."""
+    return checkpoint(I.chron_nodes(spark, d), "nodes"), checkpoint(I.chron_rels(spark, d), "rels")
+
+
 @query("a3_chronology", """SELECT c.claim_id, coalesce(b.n, 0) = 0 AS is_consistent, s.lo AS earliest_date, s.hi AS latest_date FROM (SELECT DISTINCT claim_id FROM cn) c
     LEFT JOIN (SELECT claim_id, count(*) AS n FROM (SELECT claim_id FROM lifespan UNION ALL SELECT claim_id FROM anachronism) GROUP BY 1) b ON b.claim_id = c.claim_id
     LEFT JOIN (SELECT claim_id, min(date) AS lo, max(date) AS hi FROM node_dates GROUP BY 1) s ON s.claim_id = c.claim_id""", ("lifespan", "anachronism", "node_dates"))
 def a3(spark, d):
-    return C.chronology(I.chron_nodes(spark, d), I.chron_rels(spark, d), TECH)
+    return C.chronology(*_chron(spark, d), TECH)
 
 
 # ---- full validation ---------------------------------------------------------------------------
@@ -249,7 +254,7 @@ def a28(spark, d):
     LEFT JOIN (SELECT claim_id, count(*) FILTER (severity = 'critical') AS crit, count(*) FILTER (severity = 'high') AS high FROM (SELECT claim_id, severity FROM lifespan UNION ALL SELECT claim_id, severity FROM anachronism) GROUP BY 1) i
     ON i.claim_id = c.claim_id""", ("lifespan", "anachronism"))
 def a1(spark, d):
-    issues = C.chronology_issues(I.chron_nodes(spark, d), I.chron_rels(spark, d), TECH)
+    issues = C.chronology_issues(*_chron(spark, d), TECH)
     none = I.order_claims(spark, d).select("claim_id", F.lit(0.0).alias("match_score")).limit(0)
     return V.validation_status(I.order_claims(spark, d), issues, none).select("claim_id", "overall_status", "recommendation")
 
