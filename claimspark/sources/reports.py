@@ -45,11 +45,13 @@ def wrap(text: Column, width: int = WIDTH, prefix: str = "") -> Column:
 
 
 def _lines(df: DataFrame, section: int, pos, lines: list) -> DataFrame:
-    """Explode literal strings, string columns and string arrays into report lines; null ones vanish."""
+    """Explode literal strings, string columns and string arrays into report lines; null ones vanish.
+
+    They vanish after the explode: a filter of the array would run the whole line-up without generated code.
+    """
     arrays = [F.array(F.lit(x)) if isinstance(x, str) else x for x in lines]
-    flat = F.filter(F.flatten(F.array(*arrays)), lambda x: x.isNotNull())
     return df.select("analysis_id", F.lit(section).alias("section"), F.lit(pos).cast("bigint").alias("pos") if isinstance(pos, int) else pos.cast("bigint").alias("pos"),
-                     F.posexplode(flat).alias("sub", "line"))
+                     F.posexplode(F.concat(*arrays)).alias("sub", "line")).filter(F.col("line").isNotNull())
 
 
 def _one(c: Column) -> Column:

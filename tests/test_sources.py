@@ -182,3 +182,15 @@ def test_facts_with_clashing_ids_are_both_kept(spark, tmp_path):
     S.append_facts(spark.createDataFrame([("a", "old", True, "geographic", ["x", "y"], day(1)), ("a", "other", True, "geographic", ["u", "v"], day(1))], row), path)
     S.append_facts(spark.createDataFrame([("a", "new", True, "geographic", ["x", "y"], day(2))], row), path)
     assert sorted(r["claim"] for r in S.read_facts(spark, path).collect()) == ["new", "other"]
+
+
+def test_pages_lie_in_few_folders(spark):
+    """One file per page, but not one folder each, and not all written by one task."""
+    import os
+    import re
+
+    from checks.registry import QUERIES
+
+    files = QUERIES["s1_read_text_claims"](spark, "/root/testdata/sf0.01").inputFiles()
+    assert len(files) == 250 and len({os.path.dirname(f) for f in files}) <= 64
+    assert len({re.search(r"part-(\d+)", f).group(1) for f in files}) > 1
