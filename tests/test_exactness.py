@@ -333,3 +333,30 @@ def test_copies_of_a_myth_are_matched_once(spark):
     base = base.filter("id IS NOT NULL")
     got = {limit: sorted(map(tuple, M.match_myths(claims, base, inline_limit=limit).collect())) for limit in (0, 100)}
     assert got[0] == got[100] and got[0][0][2] == "m0"
+
+
+def test_names_are_sought_by_wide_grams(spark, monkeypatch):
+    """Every needle length and place is found, and names that share three-character grams alone are not paired."""
+    hay = random_words(18, 120, "ab ", 1, 24) + ["äöü straße 12", "x😀yz 1234567", "the old bolt 0a1b2c3d", ""]
+    needles = sorted({x[i:i + q] for x in hay for i in (0, 2, 5) for q in (1, 2, 3, 4, 5, 7, 8, 12)} | {"zzz", "old bolt 0a1b2c3e", "ba" * 9}) + [""]
+    h = spark.createDataFrame([("k", x) for x in sorted(set(hay))], "k string, t string")
+    n = spark.createDataFrame([("k", x) for x in needles], "k string, s string")
+    rows = [(r["t"], r["s"]) for r in TJ.containment_pairs(h, n, "t", "t", "s", "s", ["k"], short=True).collect()]
+    assert sorted(rows) == sorted((x, y) for x in set(hay) for y in set(needles) if y and y in x)
+
+    codes = sorted(set("".join(random.Random(i).choices("abcd", k=8)) for i in range(400)))
+    names = spark.createDataFrame([("k", "old bolt " + x) for x in codes], "k string, t string")
+    monkeypatch.setattr(TJ.F, "contains", lambda *_: F.lit(True))  # what is left are the pairs to be checked
+    pairs = TJ.containment_pairs(names, spark.createDataFrame([("k", x) for x in codes], "k string, s string"), "t", "t", "s", "s", ["k"], short=True)
+    assert pairs.count() == len(codes)
+
+
+def test_common_names_need_no_patterns(spark):
+    from claimspark.functions.names import normalize_name
+
+    names = {"Old  Bolt": "old bolt", " a b ": "a b", "A_1 b2": "a_1 b2", "O'Hara": "ohara", "Straße\t5": "straße 5", "": "", " ": "", "a\n": "a",
+             "x y": "x y", "ab-c": "abc", "İx": None}
+    df = spark.createDataFrame([(x,) for x in names], "n string").select("n", normalize_name(F.col("n")).alias("got"), F.regexp_replace(F.regexp_replace(
+        F.regexp_replace(F.lower("n"), r"(?U)^\s+|\s+$", ""), r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)\s+", " ").alias("slow"))
+    for r in df.collect():
+        assert r["got"] == r["slow"] and names[r["n"]] in (None, r["got"])
