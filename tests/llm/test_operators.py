@@ -327,6 +327,51 @@ def test_a_passage_between_others_that_hold_its_seeds(spark):
     assert [(r["doc_id"], r["partner_id"], r["n_words"], r["n_edits"]) for r in got] == [(5, 2, 70, 0)]
 
 
+def test_the_passage_query_finds_a_passage_between_others_that_hold_its_seeds(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    passage = text(70)
+    pieces = lambda: " ".join(" ".join(passage[i:i + 20] + text(40)) for i in rng.sample(range(0, 60, 6), 10))
+    whole = lambda: " ".join(text(20) + passage + text(20))
+    data = [(1, pieces()), (2, whole()), (3, pieces()), (4, pieces()), (5, whole()), (6, pieces())]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op7_passage_chaining(spark, str(tmp_path)).collect()
+    assert [(r["doc_id"], r["partner_id"], r["n_words"], r["n_edits"]) for r in got] == [(5, 2, 70, 0)]
+
+
+def test_a_line_of_many_documents_makes_no_pairs(spark):
+    rng = random.Random(7)
+    text = lambda n: [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+    line, passage = text(16), text(60)
+    texts = [text(30) + line + text(30) for _ in range(40)]
+    texts[30] += passage
+    texts[39] += passage
+    k, window, apart = passages.SEED_WORDS, passages.WINDOW, 50 - 2 * (passages.WINDOW + passages.SEED_WORDS) - passages.SEED_WORDS
+    docs = spark.createDataFrame([(i, " ".join(t).encode()) for i, t in enumerate(texts)], "doc long, data binary")
+    seeds = docs.mapInArrow(lambda it: passages.all_seeds(it, k, window), "seed long, doc long, at long").coalesce(1).sortWithinPartitions("seed", "doc", "at")
+    shared = seeds.mapInArrow(lambda it: passages.shared_seeds(it, k + window), passages.SHARED).cache()
+    places = shared.filter("side = 0").select("doc", "at", "seed", F.lit(True).alias("open"))
+    pairs = passages.open_pairs(shared, places, docs, passages.MAX_GAP + k + window, apart).collect()
+    assert [tuple(r) for r in pairs] == [(39, 30)]
+
+
+def test_pair_keys_meet_on_every_chain():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    reach, apart = 45, 19
+    keys = lambda at, seed, is_open, earlier: {r["key"] for b in passages.pair_keys(iter([pa.RecordBatch.from_arrays(
+        [pa.array(np.zeros(len(at), dtype=np.int64)), pa.array(at.astype(np.int64) << passages.BYTE_BITS), pa.array(seed), pa.array(is_open)],
+        names=["doc", "at", "seed", "open"])]), reach, apart, earlier) for r in b.to_pylist()}
+    for _ in range(300):
+        n = int(rng.integers(2, 12))
+        steps = lambda: np.cumsum(rng.choice([1, 4, 9, 20, reach], n))
+        x, y, seed = steps(), steps(), rng.integers(0, 5, n)
+        is_open = np.arange(n) == rng.integers(0, n)
+        if x[-1] - x[0] >= apart and y[-1] - y[0] >= apart:
+            assert keys(x, seed, is_open, False) & keys(y, seed, np.ones(n, dtype=bool), True)
+
+
 def test_shared_seeds_do_not_depend_on_batches():
     import pyarrow as pa
 
