@@ -313,6 +313,66 @@ def test_edit_pairs_of_names_with_codes(spark):
     assert joins and all(-1 < line.find("bit_count") < line.find("levenshtein") for line in joins)
 
 
+def _walked(spark, a, b, theta, **sizes):
+    from claimspark.operators.editwalk import walked_pairs
+
+    left = spark.createDataFrame([(k, x) for k in "pq" for x in a], "k string, left_text string")
+    right = spark.createDataFrame([("q", x) for x in b], "k string, right_text string")
+    return [(r["k"], r["left_text"], r["right_text"], r["distance"]) for r in walked_pairs(left, right, theta, ["k"], **sizes).collect()]
+
+
+@pytest.mark.parametrize("theta", [0.6, 0.8, 0.9])
+def test_walked_pairs_lose_nothing(spark, theta):
+    a = random_words(11, 150, "ab") + ["aaaaaaaaaaaa", "abababababab", "\U0001f600äöü straße"] + random_words(12, 40, "abcdef", 20, 40)
+    b = random_words(13, 150, "ab") + ["aaaaaaaaaaa", "bababababab", "\U0001f600äoü strase"] + [x[3:9] + x for x in a[-20:]] + [x[2:] for x in a[-30:]]
+    a, b = sorted(set(a)), sorted(set(b))
+    near = lambda x, y: 1 - distance(x, y) / max(len(x), len(y)) >= theta
+    got = _walked(spark, a, b, theta, left_rows=50, right_rows=40)
+    assert len(got) == len(set(got)) and all(d == distance(x, y) for _, x, y, d in got)
+    assert {(k, x, y) for k, x, y, _ in got if near(x, y)} == {("q", x, y) for x in a for y in b if near(x, y)}
+
+
+def test_walks_go_on_over_parts_and_split_their_bands(spark, monkeypatch):
+    from claimspark.operators import editwalk
+
+    r = random.Random(5)
+    b = sorted({f"old bolt {r.getrandbits(32):08x}" for _ in range(60)})
+    a = sorted({x[:9] + "".join(r.choice("0123456789abcdef") if r.random() < 0.3 else c for c in x[9:]) for x in b * 5})
+    want = {(x, y, d) for x in a for y in b if (d := distance(x, y)) <= 3}
+    walk = editwalk.Walk(b, len(a[0]), 3)
+    parts = [a[i:i + 7] for i in range(0, len(a), 7)]
+    assert {(part[n], b[i], int(d)) for part in parts for n, which, ds in walk.feed(part) for i, d in zip(which, ds)} == want
+    monkeypatch.setattr(editwalk, "STATE_BYTES", 2000)
+    monkeypatch.setattr(editwalk, "FLUSH", 10)
+    import pyarrow as pa
+
+    rows = [(0, 0, y) for y in b] + [(0, 1, x) for x in a] + [(1, 0, "z")] + [(2, 1, "y")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + 50])], names=["_pair", "_side", "_text"]) for i in range(0, len(rows), 50)]
+    got = [tuple(x.values()) for out in editwalk.walk_rows(iter(batches), 0.8) for x in out.to_pylist()]
+    assert len(got) == len(want) and {x[1:] for x in got} == want
+
+
+def test_long_texts_and_many_letters_are_walked(spark):
+    r = random.Random(6)
+    base = ["".join(chr(0x4E00 + r.randrange(400)) for _ in range(200)) for _ in range(4)]
+    a = sorted({x[:i] + "?" * 5 + x[i + r.randrange(9):] for x in base for i in range(0, 190, 19)})
+    got = _walked(spark, a, base, 0.9)
+    assert {x[1:] for x in got if 1 - x[3] / max(len(x[1]), len(x[2])) >= 0.9} == {
+        (x, y, distance(x, y)) for x in a for y in base if 1 - distance(x, y) / max(len(x), len(y)) >= 0.9}
+
+
+def test_edit_pairs_of_large_tables_are_those_of_grams(spark):
+    r = random.Random(7)
+    b = sorted({f"{h} {r.getrandbits(32):08x}" for h in ("large ring", "old bolt", "small gizmo") for _ in range(300)})
+    a = sorted({y for x in b for y in (x, x[:-1], "the " + x, x[::-1], x[-8:], x.replace("a", "b"))})
+    left, right = (spark.createDataFrame([(x,) for x in side], "text string") for side in (a, b))
+    rows = lambda few: sorted(tuple(x) for x in TJ.edit_pairs(left, right, 0.8, few=few).collect())
+    walked = TJ.edit_pairs(left, right, 0.8)
+    assert rows(0) == rows(10**9) == sorted(tuple(x) for x in walked.collect())
+    # grams pair a share of all texts with each other, so large tables are not joined by them
+    assert "levenshtein" not in walked._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_containment_of_texts_that_are_their_own_ids(spark):
     hay, needles = random_words(8, 80), random_words(9, 50, low=1, high=5)
     h = spark.createDataFrame([("p" if i % 2 else "q", x) for i, x in enumerate(hay)], "k string, t string")
