@@ -420,3 +420,53 @@ def test_common_names_need_no_patterns(spark):
         F.regexp_replace(F.lower("n"), r"(?U)^\s+|\s+$", ""), r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)\s+", " ").alias("slow"))
     for r in df.collect():
         assert r["got"] == r["slow"] and names[r["n"]] in (None, r["got"])
+
+
+def test_no_shuffle_files_are_left_by_a_stored_table(spark):
+    import time
+
+    from claimspark.session import checkpoint
+
+    files = lambda: {f.getName() for f in _java_files(spark) if f.getName().startswith("shuffle_")}
+    before = files()
+    stored = checkpoint(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and sorted(tuple(r) for r in stored.collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
+def _java_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_status_of_claims_is_read_from_stored_counts(spark):
+    from claimspark.plans import validate as V
+
+    dates = "birth_date date, death_date date, start_date date, end_date date, date_value date"
+    nodes = spark.createDataFrame([(c, 0, "Person", "Ann Lee", None, *[None] * 5) for c in "ab"] + [("b", 1, "Location", "Nowhere", None, *[None] * 5)],
+                                  f"claim_id string, ordinal int, node_type string, name string, description string, {dates}")
+    rels = spark.createDataFrame([("b", 0, "Ann Lee", "LOCATED_AT", "Nowhere")], "claim_id string, ordinal int, source_name string, relation_type string, target_name string")
+    facts = spark.createDataFrame([("f", 0, "Ann Lee", "Person", [])], "fact_id string, ordinal int, name string, node_type string, aliases array<string>")
+    edges = spark.createDataFrame([("Ann Lee", "LOCATED_AT", "Rome")], "source_name string, relation_type string, target_name string")
+    claims = spark.createDataFrame([("a",), ("b",), ("c",)], "claim_id string")
+    rule = lambda n, r: V.res.issue_rows(n.filter("ordinal = 1"), "odd", "high", "odd")
+    run = lambda **kw: V.validate_claims(claims, nodes, rels, facts, edges, rules=[rule], **kw)
+    stored, lazy = run(), run(materialize=False)
+    rows = lambda v: sorted(tuple(r) for r in v.claims.collect())
+    assert rows(stored) == rows(lazy) and [r[1] for r in rows(stored)] == ["verified", "suspicious", "unverifiable"]
+    assert [r[4:6] for r in rows(stored)] == [(0, 0), (1, 2), (0, 0)]
+    assert stored.issues.count() == lazy.issues.count() == 3
+    # the checks are counted one after the other, so the last step does not shuffle the nodes and relationships of all of them
+    shuffles = lambda v: v.claims._jdf.queryExecution().sparkPlan().toString().count("Join")
+    assert shuffles(stored) == 2 < shuffles(lazy)
+
+
+def test_slices_have_all_rows_once(spark):
+    from claimspark.session import checkpoint_slices
+
+    rows = spark.createDataFrame([(f"c{i}" if i % 9 else None, i) for i in range(200)], "k string, v int")
+    got = checkpoint_slices(lambda within: rows.filter(within), rows, "k", slice_rows=40)
+    assert sorted(r["v"] for r in got.collect()) == list(range(200))
